@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from career_index.constants import PAGE_SIZE
 from career_index.functions.urls import apply_url
@@ -45,7 +46,7 @@ def feed(df: DataFrame, countries=(), sources=(), companies=(), job_boxes=("with
     vis = q.filter_text(q.filter_facets(df, countries, sources, companies, job_boxes), text)
     cards = q.job_cards(vis)
     cards = q.with_country_iso(cards).withColumn("apply_url", apply_url("url", "career_page_url"))
-    card_order = [*order, cards["pos"].asc()]
+    card_order = [*order, F.col("pos").asc()]
     if page_number is None:
         from career_index.operators.ranking import with_rank
         return with_rank(cards.withColumnRenamed("company_name", "name"), *card_order).withColumnRenamed(

@@ -99,3 +99,23 @@ def served_cte() -> str:
 
 def with_served(select_sql: str) -> str:
     return "WITH " + served_cte() + "\n" + select_sql
+
+
+def swapcase(x: str) -> str:
+    lo = "abcdefghijklmnopqrstuvwxyz"
+    return f"translate({x}, '{lo}{lo.upper()}', '{lo.upper()}{lo}')"
+
+
+def locale_key(x: str, desc: bool = False) -> str:
+    """ICU root order on ASCII letters, digits and spaces: case-insensitive first, then
+    lower-case before upper-case."""
+    d = " DESC" if desc else ""
+    return f"lower({x}){d}, {swapcase(x)}{d}"
+
+
+def canonical_origin(x: str) -> str:
+    m = rf"regexp_extract({x}, '(?i)(https?://[^\s]+|www\.[^\s]+)', 1)"
+    v = rf"regexp_replace({strip(m)}, '[.,;)]+$', '')"
+    u = ensure_scheme(v)
+    return (f"(CASE WHEN {m} <> '' AND contains({netloc(u)}, '.') AND length({u}) <= 200 "
+            f"THEN lower(regexp_extract({u}, '{SCHEME}', 1)) || '://' || {netloc(u)} ELSE '' END)")

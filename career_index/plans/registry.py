@@ -22,6 +22,14 @@ from career_index.plans import api
 from career_index.plans import oracle as O
 from career_index.sources.fixtures import candidates_with_ord, raw_candidates, served_companies
 from career_index.sources.tables import table
+from career_index.constants import EUROPE_COUNTRIES
+from career_index.functions.scoring import right_wins
+from career_index.functions.urls import apply_url as api_apply_url
+from career_index.functions.text import contains_folded as api_contains_folded
+from career_index.functions.urls import canonical_origin as api_canonical_origin
+from career_index.functions.urls import page_url as api_page_url
+from career_index.operators.records import company_record as api_company_record
+from career_index.operators.resolve import score as api_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -176,3 +184,145 @@ register("f6_jobs_query", O.with_served(
     f"SELECT {CO_SQL} FROM served WHERE len(list_filter(jobs, lambda j: contains({O.fold('j.title')}, 'high') "
     f"OR contains({O.fold('j.url')}, 'high'))) > 0"))(
     lambda spark, d: company_out(Q.filter_jobs_query(served(spark, d), "HIGH")))
+
+# ---------------------------------------------------------------- feed-side queries
+
+register("f7_filter_facets", O.with_served(
+    f"SELECT {CO_SQL} FROM served WHERE country_of_origin IN ('France', 'Germany', 'Unknown') "
+    "AND source IN ('wikipedia', 'clutch', 'themanifest') AND len(jobs) > 0"))(
+    lambda spark, d: company_out(Q.filter_facets(served(spark, d), ["France", "Germany", "Unknown"],
+                                                 ["wikipedia", "clutch", "themanifest"], [], ["with_jobs"])))
+
+register("f8_filter_text", O.with_served(
+    f"SELECT {CO_SQL} FROM served WHERE contains(lower(name), 'kingdom') OR contains(lower(country_of_origin), 'kingdom') "
+    "OR contains(lower(source), 'kingdom') OR len(list_filter(jobs, lambda j: contains(lower(j.title), 'kingdom') "
+    "OR contains(lower(j.url), 'kingdom'))) > 0"))(
+    lambda spark, d: company_out(Q.filter_text(served(spark, d), "  KINGDOM ")))
+
+_CARDS_SQL = ("SELECT name || '::' || CASE WHEN j.url <> '' THEN j.url ELSE j.title END AS key, "
+              "CASE WHEN j.title <> '' THEN j.title ELSE 'Untitled role' END AS title, j.url AS url, "
+              "name AS company_name, website AS company_website, career_page_url, country_of_origin, source, ord, pos "
+              "FROM (SELECT *, unnest(jobs) AS j, generate_subscripts(jobs, 1) - 1 AS pos FROM served WHERE len(jobs) > 0)")
+register("n2_job_cards", O.with_served(f"SELECT * FROM ({_CARDS_SQL})"))(
+    lambda spark, d: Q.job_cards(served(spark, d)))
+
+register("p14_apply_url", O.with_served(
+    f"SELECT key, ord, pos, CASE WHEN url IS NULL OR url = '' THEN career_page_url ELSE url END AS apply_url FROM ({_CARDS_SQL})"))(
+    lambda spark, d: Q.job_cards(served(spark, d)).select(
+        "key", "ord", "pos", api_apply_url("url", "career_page_url").alias("apply_url")))
+
+_ISO_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in Q.COUNTRY_ISO)
+register("j6_country_iso", O.with_served(
+    f"SELECT s.ord, s.country_of_origin, coalesce(i.iso, '') AS country_iso FROM served s LEFT JOIN "
+    f"(VALUES {_ISO_VALUES}) i(country_key, iso) ON lower({O.strip('s.country_of_origin')}) = i.country_key"))(
+    lambda spark, d: Q.with_country_iso(served(spark, d)).select("ord", "country_of_origin", "country_iso"))
+
+register("a4_facet_values_country", O.with_served(
+    f"SELECT value, row_number() OVER (ORDER BY {O.locale_key('value')}, value) AS rank FROM "
+    "(SELECT DISTINCT country_of_origin AS value FROM served WHERE country_of_origin <> '')"))(
+    lambda spark, d: Q.facet_values(served(spark, d), "country_of_origin"))
+
+register("a4_facet_values_company_find", O.with_served(
+    f"SELECT value, row_number() OVER (ORDER BY {O.locale_key('value')}, value) AS rank FROM "
+    "(SELECT DISTINCT name AS value FROM served WHERE name <> '' AND contains(lower(name), 'company 2'))"))(
+    lambda spark, d: Q.facet_values(served(spark, d), "name", find=" Company 2"))
+
+register("o4_sort_display_company_desc", O.with_served(
+    f"SELECT {CO_SQL}, row_number() OVER (ORDER BY {O.locale_key('name', True)}, lower(name) DESC, ord DESC) AS rank "
+    "FROM served"))(
+    lambda spark, d: company_out(Q.sort_display(served(spark, d), "company", "desc"), "rank"))
+
+register("o4_sort_display_jobs_count_asc", O.with_served(
+    f"SELECT {CO_SQL}, row_number() OVER (ORDER BY len(jobs), lower(name), ord) AS rank FROM served"))(
+    lambda spark, d: company_out(Q.sort_display(served(spark, d), "jobs_count", "asc"), "rank"))
+
+
+def _feed_sql(page_no: int) -> str:
+    vis = (f"SELECT * FROM served WHERE source IN ('wikipedia', 'eu_startups', 'themanifest') AND len(jobs) > 0 "
+           "AND (contains(lower(name), '1') OR contains(lower(country_of_origin), '1') OR contains(lower(source), '1') "
+           "OR len(list_filter(jobs, lambda j: contains(lower(j.title), '1') OR contains(lower(j.url), '1'))) > 0)")
+    cards = _CARDS_SQL.replace("FROM served WHERE len(jobs) > 0", f"FROM ({vis}) WHERE len(jobs) > 0")
+    ranked = (f"SELECT c.*, coalesce(i.iso, '') AS country_iso, CASE WHEN url = '' THEN career_page_url ELSE url END "
+              f"AS apply_url, row_number() OVER (ORDER BY {O.locale_key('country_of_origin', True)}, "
+              "lower(company_name) DESC, ord DESC, pos) AS rank, count(*) OVER () AS n "
+              f"FROM ({cards}) c LEFT JOIN (VALUES {_ISO_VALUES}) i(country_key, iso) "
+              f"ON lower({O.strip('c.country_of_origin')}) = i.country_key")
+    pg = f"least(greatest(1, {page_no}), greatest(1, CAST(ceil(n / 10.0) AS BIGINT)))"
+    return O.with_served(
+        f"SELECT key, title, url, company_name, company_website, career_page_url, country_of_origin, source, ord, pos, "
+        f"country_iso, apply_url, rank, CAST({pg} AS INT) AS page FROM ({ranked}) WHERE rank > ({pg} - 1) * 10 "
+        f"AND rank <= {pg} * 10")
+
+
+def _feed(page_no):
+    def run(spark, d):
+        return api.feed(served(spark, d), sources=["wikipedia", "eu_startups", "themanifest"], job_boxes=["with_jobs"],
+                        text=" 1", sort_by="country", sort_order="desc", page_number=page_no)
+    return run
+
+
+register("q5_feed_page_3", _feed_sql(3))(_feed(3))
+register("o5_page_beyond_end", _feed_sql(10_000))(_feed(10_000))
+
+# ---------------------------------------------------------------- more scalar operators
+
+_FREE_TEXT = "concat('Website: ', website, '). Call us')"
+register("p5_canonical_origin",
+         f"SELECT source_rank, seq, {O.canonical_origin(_FREE_TEXT)} AS origin FROM {O.raw_candidates()}")(
+    lambda spark, d: raw_candidates(spark, d).select("source_rank", "seq",
+                                                     api_canonical_origin(F.expr(_FREE_TEXT)).alias("origin")))
+
+register("p8_contains_folded", O.with_served(
+    f"SELECT ord, contains({O.fold('name')}, {O.fold(chr(39) + 'COMPANY 1' + chr(39))}) AS hit FROM served"))(
+    lambda spark, d: served(spark, d).select("ord", api_contains_folded("name", "COMPANY 1").alias("hit")))
+
+register("p10_page_url",
+         "SELECT s_suppkey, 'https://en.wikipedia.org/wiki/' || replace(url_encode(replace("
+         + O.strip("concat(s_name, ' & Co/ ', CAST(s_nationkey AS STRING))") + ", ' ', '_')), '%2F', '/') AS page_url FROM supplier")(
+    lambda spark, d: table(spark, d, "supplier").select(
+        "s_suppkey", api_page_url(F.concat("s_name", F.lit(" & Co/ "), F.col("s_nationkey").cast("string"))).alias("page_url")))
+
+register("p11_company_record",
+         f"SELECT source_rank, seq, {O.strip('name')} AS name, {O.normalize_url('website')} AS website, "
+         f"{O.normalize_url('career_page_url')} AS career_page_url, {O.strip('country_of_origin')} AS country_of_origin, "
+         f"'wikipedia' AS source FROM {O.raw_candidates()}")(
+    lambda spark, d: api_company_record(raw_candidates(spark, d), "wikipedia", keep=("source_rank", "seq")))
+
+_EU_SQL = ", ".join(f"'{c}'" for c in EUROPE_COUNTRIES)
+register("f3_listed_country",
+         f"SELECT source_rank, seq, ({O.strip('lower(country_of_origin)')} <> '' AND len(list_filter([{_EU_SQL}], "
+         f"lambda c: contains(' ' || {O.strip('lower(country_of_origin)')} || ' ', ' ' || c || ' '))) > 0) AS european "
+         f"FROM {O.raw_candidates()}")(
+    lambda spark, d: raw_candidates(spark, d).select(
+        "source_rank", "seq", P.is_listed_country("country_of_origin", EUROPE_COUNTRIES).alias("european")))
+
+register("f16_looks_like_url",
+         f"SELECT source_rank, seq, (starts_with(lower({O.strip('website')}), 'http://') OR starts_with(lower({O.strip('website')}), "
+         f"'https://') OR starts_with(lower({O.strip('website')}), 'www.')) AS url_like FROM {O.raw_candidates()}")(
+    lambda spark, d: raw_candidates(spark, d).select("source_rank", "seq", P.looks_like_url("website").alias("url_like")))
+
+_SCORE_SQL = ("(2 * (name <> '')::INT + 2 * (website <> '')::INT + 3 * (career_page_url <> '')::INT "
+              "+ (country_of_origin <> '' AND lower(country_of_origin) <> 'unknown')::INT "
+              "+ (source <> '' AND lower(source) <> 'unknown')::INT + (len(jobs) > 0)::INT)")
+register("w6_completeness", f"WITH {O.final_records_cte()} SELECT ord, {_SCORE_SQL} AS score FROM fr")(
+    lambda spark, d: api_score(final_records(candidates_with_ord(spark, d))).select("ord", "score"))
+
+register("w7_prefer", (
+    f"WITH {O.served_cte()}, sc AS (SELECT *, {_SCORE_SQL} AS score, {O.domain_key('website')} AS dk FROM fr), "
+    f"fst AS (SELECT *, {_SCORE_SQL} AS score, {O.domain_key('website')} AS dk FROM served) "
+    "SELECT r.ord, l.ord AS first_ord, (r.score > l.score OR (lower(l.country_of_origin) = 'unknown' AND "
+    "lower(r.country_of_origin) <> 'unknown') OR length(r.career_page_url) < length(l.career_page_url)) AS right_wins "
+    "FROM sc r JOIN fst l ON r.dk = l.dk"))(
+    lambda spark, d: api_prefer_vs_first(spark, d))
+
+
+def api_prefer_vs_first(spark, d):
+    """W7 of every final record against the first record of its domain."""
+    fr = api_score(final_records(candidates_with_ord(spark, d))).withColumn("dk", domain_key("website"))
+    first = api_score(served(spark, d)).withColumn("dk", domain_key("website"))
+    l = first.select("dk", F.col("ord").alias("first_ord"), F.col("score").alias("l_score"),
+                     F.col("country_of_origin").alias("l_country"), F.col("career_page_url").alias("l_career"))
+    j = fr.join(l, "dk")
+    return j.select("ord", "first_ord", right_wins(F.col("l_score"), F.col("l_country"), F.col("l_career"),
+                                                   F.col("score"), F.col("country_of_origin"),
+                                                   F.col("career_page_url")).alias("right_wins"))
