@@ -18,6 +18,7 @@ from career_index.operators import dedupe as D
 from career_index.operators import query as Q
 from career_index.operators.ranking import with_rank
 from career_index.operators.resolve import final_records
+from career_index.operators import resolve as R
 from career_index.plans import api
 from career_index.plans import oracle as O
 from career_index.sources.fixtures import candidates_with_ord, raw_candidates, served_companies
@@ -326,3 +327,60 @@ def api_prefer_vs_first(spark, d):
     return j.select("ord", "first_ord", right_wins(F.col("l_score"), F.col("l_country"), F.col("l_career"),
                                                    F.col("score"), F.col("country_of_origin"),
                                                    F.col("career_page_url")).alias("right_wins"))
+
+# ---------------------------------------------------------------- unions, greedy dedupe, resolution
+
+register("u1_union_sources",
+         f"SELECT source_rank, seq, source, name FROM {O.raw_candidates()}")(
+    lambda spark, d: D.union_sources({
+        s: raw_candidates(spark, d).where(F.col("source") == s).drop("source_rank") for s in D.SOURCES
+    }).select("source_rank", "seq", "source", "name"))
+
+register("u2_union_lists", O.with_served(
+    "SELECT ord, name FROM served UNION ALL SELECT 1000000000000000 + ord AS ord, name FROM fr"))(
+    lambda spark, d: D.union_lists(served(spark, d), final_records(candidates_with_ord(spark, d))).select("ord", "name"))
+
+
+def _w2_sql() -> str:
+    kb = O.normalize_url("website")
+    return (
+        f"WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY source_rank, seq) AS i, source_rank, seq, "
+        f"{O.name_key('name')} AS ka, {kb} AS kb FROM {O.raw_candidates()}), "
+        "st(i, names, webs, ok) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false "
+        "UNION ALL SELECT r.i, "
+        "CASE WHEN NOT (list_contains(st.names, r.ka) OR (r.kb <> '' AND list_contains(st.webs, r.kb))) "
+        "THEN list_append(st.names, r.ka) ELSE st.names END, "
+        "CASE WHEN NOT (list_contains(st.names, r.ka) OR (r.kb <> '' AND list_contains(st.webs, r.kb))) AND r.kb <> '' "
+        "THEN list_append(st.webs, r.kb) ELSE st.webs END, "
+        "NOT (list_contains(st.names, r.ka) OR (r.kb <> '' AND list_contains(st.webs, r.kb))) "
+        "FROM st JOIN r ON r.i = st.i + 1) "
+        "SELECT r.source_rank, r.seq FROM st JOIN r ON r.i = st.i WHERE st.ok")
+
+
+register("w2_greedy_dedupe", _w2_sql())(
+    lambda spark, d: D.greedy_dedupe(raw_candidates(spark, d), name_key("name"), normalize_url("website"),
+                                     ["source_rank", "seq"]).select("source_rank", "seq"))
+
+
+def _w8_domain_sql() -> str:
+    champ = ("list_reduce(list({'ord': ord, 'score': score, 'country': country_of_origin, 'career': career_page_url} "
+             "ORDER BY ord), lambda c, r: CASE WHEN r.score > c.score OR (lower(c.country) = 'unknown' AND "
+             "lower(r.country) <> 'unknown') OR length(r.career) < length(c.career) THEN r ELSE c END).ord")
+    return (
+        f"WITH {O.final_records_cte()}, sc AS (SELECT *, {_SCORE_SQL} AS score, {O.domain_key('website')} AS dk FROM fr), "
+        f"g AS (SELECT min(ord) AS slot, {champ} AS rec FROM sc WHERE dk <> '' GROUP BY dk "
+        "UNION ALL SELECT ord AS slot, ord AS rec FROM sc WHERE dk = '') "
+        f"SELECT g.slot AS ord, source_rank, seq, name, website, career_page_url, country_of_origin, source, "
+        f"{O.jobs_text('jobs')} AS jobs_text FROM g JOIN fr ON fr.ord = g.rec")
+
+
+register("w8_resolve_domain_only", _w8_domain_sql())(
+    lambda spark, d: R.resolve_domain_only(final_records(candidates_with_ord(spark, d), keep=("ord", "source_rank", "seq")))
+    .select("ord", "source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source",
+            jobs_text().alias("jobs_text")))
+
+# Two-key resolution: order-dependent fold with stale pointers; checked in pytest against a
+# sequential model (rows-only here).
+register("q7_resolve")(
+    lambda spark, d: company_out(with_rank(R.resolve_fold(final_records(candidates_with_ord(spark, d))),
+                                           *Q.base_order()), "rank"))
