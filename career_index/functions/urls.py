@@ -44,6 +44,11 @@ def _lower_scheme(s: Column) -> Column:
     return F.when(s.rlike(SCHEME_RE), F.concat(scheme(s), rest)).otherwise(s)
 
 
+def with_absolute(df, out: str, base, href):
+    """``out`` = P1(P4(base, href)), staged so the join expression is computed once per row."""
+    return df.withColumn("_joined", resolve_url(base, href)).withColumn(out, normalize_url("_joined")).drop("_joined")
+
+
 def normalize_url(c) -> Column:
     """Strip, drop the fragment and an empty ``?``, lower-case the scheme, drop ONE trailing ``/``."""
     s = F.regexp_replace(ustrip(_c(c)), r"[\t\r\n]", "")
@@ -101,23 +106,26 @@ def resolve_url(base, href) -> Column:
         return F.concat(F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")),
                         F.when(f != "", F.concat(F.lit("#"), f)).otherwise(F.lit("")))
 
-    # Path merge: base directory + relative path, empty middle segments dropped.
-    base_parts = F.split(b_path, "/", -1)
-    base_dir = F.when(F.element_at(base_parts, -1) != "", F.slice(base_parts, 1, F.size(base_parts) - 1)) \
-        .otherwise(base_parts)
-    rel = F.concat(base_dir, F.split(h_path, "/", -1))
-    rel = F.concat(F.slice(rel, 1, 1), F.filter(F.slice(rel, 2, F.size(rel) - 2), lambda x: x != ""),
-                   F.slice(rel, -1, 1))
-    segs = F.when(h_path.startswith("/"), F.split(h_path, "/", -1)).otherwise(rel)
+    # Path merge: base directory + relative path; runs of "/" collapse (empty middle segments
+    # are dropped); a root path is taken as is. One fold resolves "." / ".." and finishes the path.
+    base_dir = F.regexp_replace(b_path, r"[^/]*\z", "")
+    rel = F.regexp_replace(F.concat(base_dir, h_path), r"/{2,}", "/")
+    segs = F.split(F.when(h_path.startswith("/"), h_path).otherwise(rel), "/", -1)
     empty = F.array().cast("array<string>")
-    resolved = F.aggregate(
-        segs, empty,
-        lambda acc, x: F.when(x == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
-        .when(x == ".", acc).otherwise(F.array_append(acc, x)))
-    resolved = F.when(F.element_at(segs, -1).isin(".", ".."), F.array_append(resolved, F.lit(""))).otherwise(resolved)
-    joined = F.array_join(resolved, "/")
-    joined = F.when(joined == "", F.lit("/")).otherwise(joined)
-    joined = F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    init = F.struct(empty.alias("a"), F.lit("").alias("last"))
+
+    def step(acc, x):
+        arr = acc["a"]
+        nxt = (F.when(x == "..", F.when(F.size(arr) > 0, F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr))
+               .when(x == ".", arr).otherwise(F.array_append(arr, x)))
+        return F.struct(nxt.alias("a"), x.alias("last"))
+
+    def finish(acc):
+        arr = F.when(acc["last"].isin(".", ".."), F.array_append(acc["a"], F.lit(""))).otherwise(acc["a"])
+        j = F.array_join(arr, "/")
+        return F.when(j == "", F.lit("/")).when(j.startswith("/"), j).otherwise(F.concat(F.lit("/"), j))
+
+    joined = F.aggregate(segs, init, step, finish)
 
     other_scheme = h_has_scheme & (h_scheme != b_scheme)
     has_net = h_rest.startswith("//")

@@ -119,3 +119,86 @@ def canonical_origin(x: str) -> str:
     u = ensure_scheme(v)
     return (f"(CASE WHEN {m} <> '' AND contains({netloc(u)}, '.') AND length({u}) <= 200 "
             f"THEN lower(regexp_extract({u}, '{SCHEME}', 1)) || '://' || {netloc(u)} ELSE '' END)")
+
+
+def decode(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
+                    ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def tag_text(x: str) -> str:
+    return strip(collapse(decode(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")))
+
+
+def attr(tag: str, name: str) -> str:
+    pat = rf"(?is)^<\w+(?:\s[^>]*?)?\s{name}\s*=\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\s\"''>]+))"
+    return decode(f"(regexp_extract({tag}, '{pat}', 1) || regexp_extract({tag}, '{pat}', 2) || "
+                  f"regexp_extract({tag}, '{pat}', 3))")
+
+
+ANCHOR = r"(?is)<a\s[^>]*>.*?</a>"
+
+
+def anchors_sql(src: str, keep: str) -> str:
+    """Rows (keep..., pos, href, text, title, aria_label) for anchors of ``src`` (which has ``html``)."""
+    ot = r"regexp_extract(a, '(?is)^(<a\s[^>]*>)', 1)"
+    inner = r"regexp_extract(a, '(?is)^<a\s[^>]*>(.*)</a>$', 1)"
+    return (f"SELECT {keep}, pos, {strip(attr(ot, 'href'))} AS href, {tag_text(inner)} AS text, "
+            f"{strip(attr(ot, 'title'))} AS title, {strip(attr(ot, 'aria-label'))} AS aria_label FROM ("
+            f"SELECT {keep}, unnest(al) AS a, generate_subscripts(al, 1) - 1 AS pos FROM ("
+            f"SELECT {keep}, regexp_extract_all(html, '{ANCHOR}') AS al FROM {src})) "
+            rf"WHERE regexp_matches({ot}, '(?is)^<\w+(?:\s[^>]*?)?\shref\s*=')")
+
+
+def resolve_sql(src: str, keep: str, base: str, href: str) -> str:
+    """Two-stage standard-library-style join of ``href`` against ``base`` -> column ``joined``."""
+    parts = (
+        f"SELECT {keep}, {base} AS b, {href} AS h, lower(regexp_extract({base}, '{SCHEME}', 1)) AS bs, "
+        f"lower(regexp_extract({href}, '{SCHEME}', 1)) AS hs, regexp_matches({href}, '{SCHEME}') AS hhs, "
+        f"{netloc(base)} AS bn, regexp_matches({base}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?//') AS bhn, "
+        f"regexp_extract({base}, '^(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS bp, "
+        f"regexp_extract({base}, '^[^?#]*\\?([^#]*)', 1) AS bq FROM {src}")
+    rest = "(CASE WHEN hhs THEN regexp_extract(h, '(?s)^[A-Za-z][A-Za-z0-9+.\\-]*:(.*)$', 1) ELSE h END)"
+    p2 = (f"SELECT *, CASE WHEN hhs THEN hs ELSE bs END AS es, {rest} AS hr, "
+          f"regexp_extract({rest}, '^([^?#]*)', 1) AS hp, regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1) AS hq, "
+          f"regexp_extract({rest}, '(?s)^[^#]*#(.*)$', 1) AS hf FROM ({parts})")
+    segs = ("(CASE WHEN starts_with(hp, '/') THEN string_split(hp, '/') ELSE "
+            "(SELECT CASE WHEN len(m) >= 2 THEN [m[1]] || list_filter(m[2:len(m)-1], lambda s: s <> '') || [m[len(m)]] ELSE m END "
+            "FROM (SELECT (CASE WHEN string_split(bp, '/')[-1] <> '' THEN string_split(bp, '/')[1:len(string_split(bp, '/'))-1] "
+            "ELSE string_split(bp, '/') END) || string_split(hp, '/') AS m)) END)")
+    p3 = f"SELECT *, {segs} AS sg FROM ({p2})"
+    red = ("list_reduce(sg, lambda acc, x: CASE WHEN x = '..' THEN acc[1:len(acc)-1] WHEN x = '.' THEN acc "
+           "ELSE list_append(acc, x) END, []::VARCHAR[])")
+    p4 = (f"SELECT *, CASE WHEN sg[-1] IN ('.', '..') THEN list_append({red}, '') ELSE {red} END AS rs FROM ({p3})")
+    joined = "array_to_string(rs, '/')"
+    path = (f"(CASE WHEN {joined} = '' THEN '/' WHEN starts_with({joined}, '/') THEN {joined} ELSE '/' || {joined} END)")
+    sp = "(CASE WHEN es <> '' THEN es || ':' ELSE '' END)"
+    prefix = f"({sp} || CASE WHEN bhn THEN '//' || bn ELSE '' END)"
+
+    def tail(q, f):
+        return f"(CASE WHEN {q} <> '' THEN '?' || {q} ELSE '' END || CASE WHEN {f} <> '' THEN '#' || {f} ELSE '' END)"
+    res = (f"CASE WHEN b = '' THEN h WHEN h = '' THEN b "
+           f"WHEN (hhs AND hs <> bs) OR es NOT IN ('http', 'https', '') THEN h "
+           f"WHEN starts_with(hr, '//') THEN {sp} || hr "
+           f"WHEN hp = '' THEN {prefix} || bp || {tail('CASE WHEN hq <> ' + chr(39) * 2 + ' THEN hq ELSE bq END', 'hf')} "
+           f"ELSE {prefix} || {path} || {tail('hq', 'hf')} END")
+    return f"SELECT *, {res} AS joined FROM ({p4})"
+
+
+def links_sql() -> str:
+    """X1 over ``pages``."""
+    a = anchors_sql("(SELECT page_id, url AS page_url, html FROM pages)", "page_id, page_url")
+    r = resolve_sql(f"({a})", "page_id, page_url, pos, href, text, title, aria_label", "page_url", "href")
+    return (f"SELECT page_id, page_url, pos, href, text, title, aria_label, {normalize_url('joined')} AS absolute "
+            f"FROM ({r})")
+
+
+def page_text_sql() -> str:
+    raw_title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+    body = ("regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<template\\b.*?</template>|<!--.*?-->', "
+            "' ', 'g')")
+    return (f"SELECT page_id, CASE WHEN contains({raw_title}, '<') THEN '' ELSE {decode(raw_title)} END AS title, "
+            f"{tag_text(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>' + chr(39) + ', 1)')} AS h1, "
+            f"{tag_text(body)} AS body FROM pages")

@@ -384,3 +384,17 @@ register("w8_resolve_domain_only", _w8_domain_sql())(
 register("q7_resolve")(
     lambda spark, d: company_out(with_rank(R.resolve_fold(final_records(candidates_with_ord(spark, d))),
                                            *Q.base_order()), "rank"))
+
+# ---------------------------------------------------------------- extraction over the page table
+from career_index.operators import extract as X  # noqa: E402
+from career_index.constants import CAREER_KEYWORDS  # noqa: E402
+
+register("x1_links", O.links_sql())(lambda spark, d: X.links(table(spark, d, "pages")))
+
+register("x2_page_text", O.page_text_sql())(lambda spark, d: X.page_text(table(spark, d, "pages")))
+
+_KW_SQL = "|".join(CAREER_KEYWORDS).replace("-", "\\-")
+register("x3_career_links", (
+    f"SELECT page_id, min(pos) AS pos, absolute FROM ({O.links_sql()}) WHERE href <> '' AND "
+    f"regexp_matches(lower(concat_ws(' ', text, title, aria_label, href)), '{_KW_SQL}') GROUP BY page_id, absolute"))(
+    lambda spark, d: X.career_links(table(spark, d, "pages")))
