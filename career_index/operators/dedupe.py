@@ -17,9 +17,9 @@ from career_index.functions.urls import final_url
 
 JOB_TYPE = "array<struct<title:string,url:string>>"
 # Global order of company lists: list rank times this stride plus the order inside the list.
-ORD_LIST_STRIDE = 10 ** 15
+ORD_LIST_STRIDE = 10 ** 17
 # Global order of candidates inside one list: source rank times this stride plus ``seq``.
-ORD_SOURCE_STRIDE = 10 ** 13
+ORD_SOURCE_STRIDE = 10 ** 15
 
 
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:

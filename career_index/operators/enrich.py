@@ -44,10 +44,10 @@ def allow_urls(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "ur
     r = rules.withColumn("_prio", F.when(F.col("agent") == "*", 1)
                          .when(F.lit(token).contains(F.lower("agent")), 0))
     r = r.where(F.col("_prio").isNotNull())
-    group = r.groupBy("domain").agg(F.min(F.struct("_prio", "ord", "agent")).alias("_g")).select(
-        "domain", F.col("_g.agent").alias("_agent"))
-    chosen = r.join(group, (r["domain"] == group["domain"]) & (r["agent"] == group["_agent"])).select(
-        r["domain"].alias("_domain"), "ord", "allow", "prefix")
+    group = r.groupBy(F.col("domain").alias("_domain")).agg(
+        F.min(F.struct("_prio", "ord", "agent")).alias("_g")).select("_domain", F.col("_g.agent").alias("agent"))
+    chosen = r.withColumnRenamed("domain", "_domain").join(group, ["_domain", "agent"]).select(
+        "_domain", "ord", "allow", "prefix")
     u = urls.withColumn("_uid", F.monotonically_increasing_id()) if "_uid" not in urls.columns else urls
     path = url_path(url_col)
     q = F.regexp_extract(F.col(url_col), r"^[^?#]*\?([^#]*)", 1)

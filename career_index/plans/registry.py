@@ -337,7 +337,7 @@ register("u1_union_sources",
     }).select("source_rank", "seq", "source", "name"))
 
 register("u2_union_lists", O.with_served(
-    "SELECT ord, name FROM served UNION ALL SELECT 1000000000000000 + ord AS ord, name FROM fr"))(
+    "SELECT ord, name FROM served UNION ALL SELECT 100000000000000000 + ord AS ord, name FROM fr"))(
     lambda spark, d: D.union_lists(served(spark, d), final_records(candidates_with_ord(spark, d))).select("ord", "name"))
 
 
@@ -398,3 +398,112 @@ register("x3_career_links", (
     f"SELECT page_id, min(pos) AS pos, absolute FROM ({O.links_sql()}) WHERE href <> '' AND "
     f"regexp_matches(lower(concat_ws(' ', text, title, aria_label, href)), '{_KW_SQL}') GROUP BY page_id, absolute"))(
     lambda spark, d: X.career_links(table(spark, d, "pages")))
+
+# ---------------------------------------------------------------- crawl, enrichment, directory, health
+from career_index.operators import directory as DIR  # noqa: E402
+from career_index.operators import enrich as EN  # noqa: E402
+from career_index.operators import health as H  # noqa: E402
+from career_index.plans import build as B  # noqa: E402
+from career_index.sources import sites as S  # noqa: E402
+from career_index.sources import snapshot as SNAP  # noqa: E402
+
+
+def _ckpt(df):
+    from career_index.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+register("s5_fetch", (
+    f"SELECT r.page_id AS req_id, p.page_id, length(p.html) AS html_len FROM pages r JOIN "
+    f"(SELECT {O.normalize_url('url')} AS key, min(page_id) AS page_id FROM pages GROUP BY 1) k "
+    f"ON {O.normalize_url(chr(39) + '' + chr(39) + ' || r.url || ' + chr(39) + '#x' + chr(39))} = k.key "
+    "JOIN pages p ON p.page_id = k.page_id"))(
+    lambda spark, d: EN.fetch(table(spark, d, "pages").select(F.col("page_id").alias("req_id"),
+                                                              F.concat("url", F.lit("#x")).alias("url")),
+                              table(spark, d, "pages")).join(
+        table(spark, d, "pages").select("page_id", F.length("html").alias("html_len")), "page_id")
+    .select("req_id", "page_id", "html_len"))
+
+register("a1_source_counts", (
+    f"SELECT CASE WHEN {O.strip('source')} = '' THEN 'unknown' ELSE {O.strip('source')} END AS source, count(*) AS count "
+    f"FROM {O.raw_candidates()} GROUP BY 1"))(
+    lambda spark, d: H.source_counts(raw_candidates(spark, d)))
+
+
+def _robots(spark, d):
+    """Rules for every page host: '*' blocks /fr/ then allows /; our agent is blocked from /en/ on blog hosts."""
+    hosts = table(spark, d, "pages").select(netloc("url").alias("domain")).distinct()
+    star = hosts.select("domain", F.lit("*").alias("agent"), F.explode(F.array(
+        F.struct(F.lit(0).alias("ord"), F.lit(False).alias("allow"), F.lit("/fr/").alias("prefix")),
+        F.struct(F.lit(1).alias("ord"), F.lit(True).alias("allow"), F.lit("/").alias("prefix")))).alias("r"))
+    own = hosts.where(F.col("domain").startswith("blog.")).select(
+        "domain", F.lit("careerindex").alias("agent"), F.struct(F.lit(2).alias("ord"), F.lit(False).alias("allow"),
+                                                               F.lit("/en/").alias("prefix")).alias("r"))
+    return star.unionByName(own).select("domain", "agent", "r.ord", "r.allow", "r.prefix")
+
+
+register("s6_allow_urls")(
+    lambda spark, d: EN.allow_urls(table(spark, d, "pages").select("page_id", "url"), _robots(spark, d),
+                                   "CareerIndex/1.0").select("page_id", "url"))
+
+register("x4_list_rows")(lambda spark, d: X.list_rows(S.list_pages(spark, d, "wikipedia")))
+register("x7_infobox_website")(lambda spark, d: X.infobox_website(S.detail_pages(spark, d)))
+register("x8_category_urls")(lambda spark, d: X.category_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT))
+register("x9_listing_urls")(lambda spark, d: X.listing_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT)
+                            .select("page_id", "url", F.col("pos.block_pos").alias("block_pos")))
+register("x10_listing_records")(lambda spark, d: X.listing_records(
+    S.directory_pages(spark, d).where(F.col("url").contains("/listing/"))))
+register("x11_profile_urls")(lambda spark, d: X.profile_urls(
+    S.profile_pages(spark, d, "clutch").where(F.col("url").contains("/list/")), "clutch.co", "profile")
+    .select("page_id", "stage", "url"))
+register("x12_profile_records")(lambda spark, d: X.profile_records(
+    S.profile_pages(spark, d, "themanifest").where(F.col("url").contains("/company/")), "themanifest"))
+register("x13_json_ld")(lambda spark, d: X.json_ld(S.company_sites(spark, d)).select(
+    "page_id", "script_pos", F.length("raw").alias("raw_len")))
+register("x14_json_ld_country")(lambda spark, d: X.json_ld_country(X.json_ld(S.company_sites(spark, d))))
+register("x15_job_postings")(lambda spark, d: X.job_postings(X.json_ld(_ckpt(S.company_sites(spark, d)))).select(
+    "page_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "title", "url"))
+
+register("w3_career_pages")(lambda spark, d: EN.career_pages(
+    raw_candidates(spark, d).select(ensure_scheme(normalize_url(ustrip("website"))).alias("home")).distinct()
+    .withColumn("home_domain", F.lower(netloc("home"))), EN.page_features(_ckpt(S.company_sites(spark, d)))))
+register("q6_enrich")(lambda spark, d: company_out(
+    EN.enrich(D.dedupe_candidates(raw_candidates(spark, d)), _ckpt(S.company_sites(spark, d)))
+    .withColumn("ord", F.col("source_rank").cast("long") * D.ORD_SOURCE_STRIDE + F.col("seq"))))
+register("w4_company_jobs")(lambda spark, d: EN.company_jobs(
+    raw_candidates(spark, d).select(
+        F.concat(F.lit("https://"), domain_key(ensure_scheme("website")), F.lit("/careers")).alias("career_page_url"),
+        F.lower(netloc(ensure_scheme("website"))).alias("company_domain")).distinct(),
+    EN.page_features(_ckpt(S.company_sites(spark, d)))).select("career_page_url", "company_domain",
+                                                                jobs_text().alias("jobs_text")))
+
+register("j2_fill_websites")(lambda spark, d: DIR.fill_websites(
+    X.list_rows(S.list_pages(spark, d, "wikipedia")), _ckpt(S.detail_pages(spark, d))))
+register("j4_crawl_directory")(lambda spark, d: DIR.crawl_directory(_ckpt(S.directory_pages(spark, d)), S.DIRECTORY_ROOT))
+register("j5_crawl_profiles")(lambda spark, d: DIR.crawl_profiles(
+    _ckpt(S.profile_pages(spark, d, "clutch")), S.seeds(spark, d), "clutch", "clutch.co", "profile"))
+register("q8_build_directory")(lambda spark, d: D.union_sources(DIR.build_directory(
+    _ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT)).select(*DIR.CANDIDATE_COLS))
+
+
+def _run(spark, d):
+    companies, health = B.run_index(_ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT)
+    return company_out(with_rank(companies, *Q.base_order()), "rank")
+
+
+register("q9_run_index")(_run)
+register("q4_source_health")(lambda spark, d: H.health(
+    raw_candidates(spark, d), D.dedupe_candidates(raw_candidates(spark, d)), served(spark, d), served(spark, d))
+    .select("generated_at_utc", "candidates.*", "enriched_with_careers", "final_merged",
+            F.to_json("final_by_source").alias("final_by_source")))
+
+
+def _snapshot_roundtrip(spark, d):
+    from career_index.session import ensure_checkpoint_dir
+    path = ensure_checkpoint_dir(spark).rstrip("/") + "/snapshots/companies_" + str(abs(hash(d)))
+    SNAP.write_companies(served(spark, d), path)
+    return company_out(SNAP.read_served_companies(spark, path))
+
+
+register("s3_s2_snapshot_roundtrip", O.with_served(f"SELECT {CO_SQL} FROM served"))(_snapshot_roundtrip)

@@ -80,11 +80,11 @@ def duckdb_raw_candidates_sql() -> str:
     )
 
 
-ORD_SOURCE_STRIDE = 10 ** 13
+ORD_SOURCE_STRIDE = 10 ** 15
 
 
 def candidates_with_ord(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates plus ``ord`` = source_rank * 10^13 + seq (global order as one long)."""
+    """Candidates plus ``ord`` = source_rank * 10^15 + seq (global order as one long)."""
     rc = raw_candidates(spark, sf_dir)
     return rc.withColumn("ord", F.col("source_rank").cast("long") * F.lit(ORD_SOURCE_STRIDE) + F.col("seq"))
 

@@ -217,3 +217,20 @@ def crawl_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, list_rank, url): the list pages each source starts from, in page-id order."""
+    def ranked(df, source):
+        return df.selectExpr(f"'{source}' AS source", "page_id", "url")
+    parts = [ranked(list_pages(spark, sf_dir, "wikipedia"), "wikipedia"),
+             ranked(list_pages(spark, sf_dir, "wikipedia_global"), "wikipedia_global"),
+             ranked(profile_pages(spark, sf_dir, "clutch").where("url LIKE '%/list/%'"), "clutch"),
+             ranked(profile_pages(spark, sf_dir, "themanifest").where("url LIKE '%/list/%'"), "themanifest")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    # Seeds are one row per list page (a small table); rank 1..n per source in page-id order.
+    from pyspark.sql import Window
+    w = Window.partitionBy("source").orderBy("page_id")
+    return out.select("source", F.row_number().over(w).cast("long").alias("list_rank"), "url")
