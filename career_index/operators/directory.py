@@ -21,10 +21,15 @@ from career_index.operators.enrich import page_index
 CANDIDATE_COLS = ("source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source", "source_url")
 
 
-def _fetch_pages(urls: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL."""
+def _fetch_pages(urls: DataFrame, pages: DataFrame, url_col: str = "url", bounded: bool = False) -> DataFrame:
+    """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL.
+
+    ``bounded=True`` only for request lists capped by a crawl limit (at most a few dozen
+    rows): that side is broadcast so page bodies are not shuffled for a handful of pages."""
     idx = page_index(pages)
     hit = urls.join(idx, normalize_url(url_col) == idx["key"]).drop("key")
+    if bounded:
+        return pages.select("page_id", "html").join(F.broadcast(hit), "page_id")
     return hit.join(pages.select("page_id", "html"), "page_id")
 
 
@@ -64,14 +69,14 @@ def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bo
 def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
                     max_categories: int = MAX_CATEGORY_PAGES, max_listings: int = MAX_LISTINGS) -> DataFrame:
     """Root -> first categories (in link order) -> first distinct listings -> records -> W1."""
-    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages)
+    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages, bounded=True)
     cats = X.category_urls(r.select("page_id", "html"), root)
     cats = _first_k(cats, F.col("pos"), max_categories, "cat_rank")
-    cp = _fetch_pages(cats.select("cat_rank", "url"), pages)
+    cp = _fetch_pages(cats.select("cat_rank", "url"), pages, bounded=True)
     lst = X.listing_urls(cp.select("page_id", "html"), root).join(cp.select("page_id", "cat_rank"), "page_id")
     first = lst.groupBy("url").agg(F.min(F.struct("cat_rank", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_listings, "n")
-    lp = _fetch_pages(first.select("n", "url"), pages)
+    lp = _fetch_pages(first.select("n", "url"), pages, bounded=True)
     recs = X.listing_records(lp.select("page_id", "url", "html"), source).join(lp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
@@ -88,7 +93,7 @@ def crawl_profiles(pages: DataFrame, seeds: DataFrame, source: str, host_token:
     pu = X.profile_urls(lp.select("page_id", "url", "html"), host_token, marker).join(lp.select("page_id", "list_rank"), "page_id")
     first = pu.groupBy("url").agg(F.min(F.struct("list_rank", "stage", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_profiles, "n")
-    pp = _fetch_pages(first.select("n", "url"), pages).where(~P.is_challenge("html"))
+    pp = _fetch_pages(first.select("n", "url"), pages, bounded=True).where(~P.is_challenge("html"))
     recs = X.profile_records(pp.select("page_id", "url", "html"), source).join(pp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
