@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,8 +36,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is a shared folder configured by the operator and is used as is.
-    Only when it is unset (local tests) do we create a private scratch folder.
+    On a cluster this is a folder that the driver and all executors share; without it the call
+    fails, because files in a machine-local folder would be lost to other nodes. Only a session
+    with master ``local`` (tests, bench), where everything runs on one machine, gets a scratch
+    folder of its own.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -44,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Tests only: no cluster folder configured, so use a private scratch folder.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="career-index-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
