@@ -21,7 +21,12 @@ from pyspark.sql import functions as F
 
 from career_index.llm.common import keep_rows, materialize, row_key, scratch_path, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk, with one memory bound for all stores of an executor and no disk space set aside for small stores.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -33,11 +38,9 @@ def keyed_state(locators: DataFrame) -> DataFrame:
     spark = locators.sparkSession
     where = scratch_path(spark, "exact-state")
     locators.write.parquet(f"{where}/locators")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    bounded = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
-    before = {k: spark.conf.get(k, None) for k in (provider, bounded)}
-    spark.conf.set(provider, ROCKSDB)
-    spark.conf.set(bounded, "true")
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(locators.schema).parquet(f"{where}/locators")
         state = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "source")).alias("keep"), F.count(F.lit(1)).alias("n"))
