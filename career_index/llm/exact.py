@@ -7,8 +7,8 @@ content locator and the number of rows, and is read back with the state data sou
 aggregation runs before the shuffle, so a digest that a third of all rows share reaches its state
 partition as one row from each task.
 
-A digest found twice is a hit. Hits are checked on the full bytes: every member's text is compared
-with the text of the row that stays. Digests whose members differ are grouped anew by their text.
+A digest found twice is a hit. Hits are checked on the full bytes of every member: the least and the greatest text
+of a group must agree. Digests whose members differ are grouped anew by their text.
 
 Defined results: null text equals empty text. Null ids sort before all others. Rows with equal id and
 text are one document repeated and share a verdict. An empty table gives an empty result.
@@ -70,11 +70,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.input_file_name().alias("source"))
     rows = materialize(rows, "exact-rows")
     state = materialize(keyed_state(rows.select("doc_id", "digest", "source")), "exact-state-rows")
-    hits = state.filter("group_size > 1").select("digest", "keep_id")
-    members = docs.select(k_id.alias("doc_id"), digest(text).alias("digest"), text.alias("body")).join(hits, "digest")
-    members = materialize(members, "exact-hits")
-    stays = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
-    differ = members.select("digest", "body").join(stays, "digest").filter("body != keep_body").select("digest").distinct()
+    hits = state.filter("group_size > 1").select("digest")
+    members = docs.select(digest(text).alias("digest"), text.alias("body")).join(hits, "digest")
+    members = materialize(members, "exact-hits")  # read back without a partitioning, so that a hot group is combined before the shuffle
+    # All bytes of a group agree if its least and greatest text do; both are combined before the shuffle.
+    differ = members.groupBy("digest").agg(F.min("body").alias("low"), F.max("body").alias("high")).filter("low != high").select("digest")
     differ = materialize(differ, "exact-collisions")
     columns = ("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "k_hash")
     if differ.isEmpty():
