@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from career_index.llm import bpe, chat, exact, packing, quality, simhash, substring
+from career_index.llm import bpe, chat, exact, html_extract, lines, packing, quality, simhash, substring
 from career_index.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op3_byte_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op4_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,12 @@ def op8_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "text", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_byte_bpe, op5_quality_rules, op6_simhash_near_dedup, op7_exact_dedup, op8_substring_dedup)}
+def op9_line_dedup(spark, sf_dir):
+    return lines.line_verdicts(table(spark, sf_dir, "documents"), max_edits=1).drop("k_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_byte_bpe, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup,
+                                    op7_exact_dedup, op8_substring_dedup, op9_line_dedup)}
 
 ORACLE = {
     "op1_chat_formatting": r"""
