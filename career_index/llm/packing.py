@@ -19,8 +19,12 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,41 +35,82 @@ from pyspark.sql import functions as F
 from career_index.llm.common import materialize, text_or_empty
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CACHE: dict[str, dict[str, bytes]] = {}
-_CACHE_LIMIT = 400_000
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _words_encoder(path: str):
-    """Maps a list of words without spaces to the little-endian 32-bit ids of each; known words come from a bounded cache."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+#: A comma or full stop with other punctuation beside it is part of a longer token.
+_RUN = re.compile(r"[^\w\s][,.]|[,.][^\w\s]|_[,.]|[,.]_")
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    known = _CACHE.setdefault(path, {"": b""})
 
-    def learn(words: set[str]) -> None:
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > _CACHE_LIMIT:
-            known.clear()
-            known[""] = b""
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
+def _byte_letters() -> dict[int, str]:
+    """The letter by which byte-level tokenisers write each byte: itself if it is visible in Latin-1, else the next free code point from 256."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def simplified(text: str) -> str:
+    """A text with the same tokens and fewer distinct words.
+
+    White space and case are dropped by the tokeniser anyhow. A single comma or full stop is always a token of its
+    own, so a space may be set before it. Case is only folded here where that commutes with the tokeniser's own NFC and
+    character-wise folding.
+    """
+    text = text.replace("\n", " ")
+    low = text.lower()
+    if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", low)):
+        return text
+    return low if _RUN.search(low) else low.replace(",", " ,").replace(".", " .")
 
-    return known, learn
 
+class WordEncoder:
+    """Little-endian 32-bit ids of texts, word by word, with a bounded cache of words.
 
-def token_bytes(texts: list[str], path: str):
-    """The ids of each text as little-endian 32-bit bytes. No token of this tokeniser spans a space, so words are encoded once each."""
-    known, learn = _words_encoder(path)
-    for text in texts:
-        words = text.replace("\n", " ").split(" ")
-        if any(w not in known for w in words):
-            learn(set(words))
-        yield b"".join(map(known.__getitem__, words))
+    No token of this tokeniser spans a space, so the ids of a text are those of its words.
+    """
+
+    def __init__(self, path: str, cache_limit: int = 700_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {"": b""}
+        self.cache_limit = cache_limit
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > self.cache_limit:
+            self.known.clear()
+            self.known[""] = b""
+            new = list(words)
+        rest = []
+        for w in new:
+            if w.isalpha() and w.islower() and len(w) < 100:  # one run of folded letters: a single word to the model
+                raw = w.encode().decode("latin-1").translate(self.letters)
+                self.known[w] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+            elif w:
+                rest.append(w)
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def encode(self, texts) -> Iterator[bytes]:
+        for text in texts:
+            words = simplified(text).split(" ")
+            if any(w not in self.known for w in words):
+                self.learn(set(words))
+            yield b"".join(map(self.known.__getitem__, words))
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, kept with its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +121,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
         for b in batches:
             out = []
             texts = (t.as_py() for t in b.column("body"))
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), token_bytes(texts, tokenizer_path), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder(tokenizer_path).encode(texts), strict=True):
                 ids += end
                 step = 4 * capacity
                 for k, at in enumerate(range(0, len(ids), step)):
