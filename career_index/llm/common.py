@@ -27,14 +27,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that no later plan reads."""
+def _folders(df: DataFrame):
+    """(file system, path) of the written tables that ``df`` reads from the shared folder."""
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1]
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if root in name:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            yield path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialised table that no later plan reads."""
+    for fs, path in _folders(df):
+        fs.delete(path, True)
+
+
+def small_side(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
+    """A materialised table for one side of a join: broadcast if its files are within the limit, else shuffled like the other side."""
+    written = sum(fs.getContentSummary(path).getLength() for fs, path in _folders(df))
+    return F.broadcast(df) if written <= limit_bytes else df
 
 
 def let(value: Column, body) -> Column:
@@ -58,7 +70,7 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
     join. Repeated rows are rare, so only their keys go through a shuffle of whole rows.
     """
     again = verdicts.groupBy("k_id", "k_hash").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    again = materialize(again.filter((F.col("n") > 1) | ~F.col("kept")), "verdicts")
+    again = small_side(materialize(again.filter((F.col("n") > 1) | ~F.col("kept")), "verdicts"))
     k_id, k_hash = row_key(id_col, text_col)
     cond = lambda side: k_id.eqNullSafe(side["k_id"]) & (k_hash == side["k_hash"])
     out = docs.join(again, cond(again), "left_anti")

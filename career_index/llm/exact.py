@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from career_index.llm.common import keep_rows, materialize, row_key, scratch_path, text_or_empty
+from career_index.llm.common import keep_rows, materialize, row_key, scratch_path, small_side, text_or_empty
 
 #: Keyed state on disk, with one memory bound for all stores of an executor and no disk space set aside for small stores.
 STATE_CONF = {
@@ -70,7 +70,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        F.input_file_name().alias("source"))
     rows = materialize(rows, "exact-rows")
     state = materialize(keyed_state(rows.select("doc_id", "digest", "source")), "exact-state-rows")
-    hits = state.filter("group_size > 1").select("digest")
+    hits = small_side(materialize(state.filter("group_size > 1").select("digest"), "exact-hit-digests"))
     members = docs.select(digest(text).alias("digest"), text.alias("body")).join(hits, "digest")
     members = materialize(members, "exact-hits")  # read back without a partitioning, so that a hot group is combined before the shuffle
     # All bytes of a group agree if its least and greatest text do; both are combined before the shuffle.

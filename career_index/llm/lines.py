@@ -23,20 +23,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from career_index.llm.common import materialize, row_key, text_or_empty
+from career_index.llm.common import materialize, row_key, small_side, text_or_empty
 
 BLOCKS = 3
 
 
 def normal(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), "\\s+", " "))
+    low = F.lower(line)
+    odd = F.contains(low, F.lit("  ")) | F.rlike(low, F.lit("[\\t\\x0B\\f\\r]"))
+    return F.btrim(F.when(odd, F.regexp_replace(low, "\\s+", " ")).otherwise(low))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, k_hash, line, s): one row per line that isn't blank, s normalised."""
     k_id, k_hash = row_key(id_col, text_col)
-    rows = docs.select(k_id.alias("doc_id"), k_hash, F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line", "raw"))
-    return rows.select("doc_id", "k_hash", "line", normal(F.col("raw")).alias("s")).filter("s != ''")
+    # Normalised inside the generator, so that what reads s later doesn't normalise again.
+    own = F.transform(F.split(text_or_empty(text_col), "\n"), lambda x: normal(x))
+    return docs.select(k_id.alias("doc_id"), k_hash, F.posexplode(own).alias("line", "s")).filter("s != ''")
 
 
 def _edges(length: Column, block: Column | int) -> tuple[Column, Column]:
@@ -76,7 +79,7 @@ def _near(classes: DataFrame, texts: DataFrame, max_edits: int) -> DataFrame:
     """(later, earlier): for each class that has one, the earliest class within the edit bound. A class goes by its first place."""
     keyed = classes.select(F.col("first").alias("cid"), F.posexplode("keys").alias("slot", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    slots = keyed.join(shared, "key").groupBy("cid").agg(F.collect_set("slot").alias("slots"))
+    slots = small_side(materialize(keyed.join(shared, "key").groupBy("cid").agg(F.collect_set("slot").alias("slots")), "line-slots"))
     found = materialize(texts.join(slots, "cid"), "line-candidates")
     variants = _variants(found.select("cid", "s", F.explode("slots").alias("slot")))
     meet = variants.groupBy("kind", "v").agg(F.min("cid").alias("least"), F.min(F.when(F.col("whole"), F.col("cid"))).alias("short"), F.count(F.lit(1)).alias("n"))
