@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from career_index.llm import bpe, chat, exact, html_extract, lines, packing, quality, simhash, substring
+from career_index.llm import bpe, chat, exact, html_extract, lines, packing, quality, simhash, substring, suffix
 from career_index.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,8 +62,12 @@ def op9_line_dedup(spark, sf_dir):
     return lines.line_verdicts(table(spark, sf_dir, "documents"), max_edits=1).drop("k_hash")
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_byte_bpe, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup,
-                                    op7_exact_dedup, op8_substring_dedup, op9_line_dedup)}
+                                    op7_exact_dedup, op8_substring_dedup, op9_line_dedup, op10_suffix_array_dedup)}
 
 ORACLE = {
     "op1_chat_formatting": r"""
