@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +44,15 @@ def release(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect plans that nothing refers to any more; Spark then deletes their shuffle files.
+
+    Worth calling between written tables of a long job, whose shuffle files otherwise stay until the driver happens to collect garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_side(df: DataFrame, limit_bytes: int = 32 << 20) -> DataFrame:
     """A materialised table for one side of a join: broadcast if its files are within the limit, else shuffled like the other side."""
     written = sum(fs.getContentSummary(path).getLength() for fs, path in _folders(df))

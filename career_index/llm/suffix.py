@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from career_index.llm.common import materialize, release, row_key, small_side, text_or_empty
+from career_index.llm.common import free_shuffles, materialize, release, row_key, small_side, text_or_empty
 
 Q = 32
 _BASE = 0x9E3779B97F4A7C15
@@ -116,7 +116,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _context_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, k_hash, h, c1, c2, start, first, last, context): the bytes around each anchor and their 128-bit hash."""
+    """(doc_id, k_hash, h, c, start, first, last): a second hash for each anchor, of the bytes around it; with h it has 128 bits."""
     def run(batches):
         for b in batches:
             out = []
@@ -124,16 +124,29 @@ def _context_rows(docs: DataFrame, length: int) -> DataFrame:
                 for s in spots:
                     pos = s["pos"]
                     start = max(0, pos + Q - length)
-                    context = body[start:pos + length]
-                    digest = xxhash.xxh3_128_digest(context, pos - start)
-                    out.append((doc_id, k_hash, s["h"], int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True),
-                                start, pos - s["lo"], pos - s["hi"], context))
-            cols = list(zip(*out, strict=True)) or [()] * 9
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+                    out.append((doc_id, k_hash, s["h"], xxhash.xxh3_64_intdigest(body[start:pos + length], pos - start), start, pos - s["lo"], pos - s["hi"]))
+            doc_ids, keys, hs, cs, starts, firsts, lasts = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc_ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(hs, pa.int64()), pa.array(np.array(cs, np.uint64).view(np.int64)),
+                 pa.array(starts, pa.int32()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
+                ["doc_id", "k_hash", "h", "c", "start", "first", "last"])
+
+    return docs.mapInArrow(run, "doc_id long, k_hash long, h long, c long, start int, first int, last int")
+
+
+def _span_rows(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, k_hash, h, k, salt, first, last, span): the bytes of the strings that start at first to last."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc_id, k_hash, spots, body in (r for rows in _blocks(b, ("doc_id", "k_hash", "spots", "body")) for r in rows):
+                out.extend((doc_id, k_hash, s["h"], s["k"], s["salt"], s["first"], s["last"], body[s["first"]:s["last"] + length]) for s in spots)
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             ["doc_id", "k_hash", "h", "c1", "c2", "start", "first", "last", "context"])
+                                             ["doc_id", "k_hash", "h", "k", "salt", "first", "last", "span"])
 
-    return docs.mapInArrow(run, "doc_id long, k_hash long, h long, c1 long, c2 long, start int, first int, last int, context binary")
+    return docs.mapInArrow(run, "doc_id long, k_hash long, h long, k int, salt int, first int, last int, span binary")
 
 
 def refine(data: np.ndarray, length: int) -> np.ndarray:
@@ -153,8 +166,8 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def _repeats(rows: pd.DataFrame, length: int) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, bytes]:
-    """Every string of the contexts in ``rows``, with ``repeat``: an equal one starts earlier among them."""
-    spans = [c[f - s:e - s + length] for c, s, f, e in zip(rows["context"], rows["start"], rows["first"], rows["last"], strict=True)]
+    """Every string of the spans in ``rows``, with ``repeat``: an equal one starts earlier among them."""
+    spans = rows["span"].tolist()
     data = b"".join(spans)
     counts = (rows["last"] - rows["first"] + 1).to_numpy()
     base = np.cumsum([len(x) for x in spans]) - np.array([len(x) for x in spans])
@@ -205,6 +218,11 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInPandas(run, "doc_id long, k_hash long, start int, stop int, d1 long, d2 long")
 
 
+def _with_spots(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    side = spots.select(F.col("doc_id").alias("i"), F.col("k_hash").alias("j"), "spots")
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k_hash") == F.col("j"))).select("doc_id", "k_hash", "spots", "body")
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, group: int = 2048) -> DataFrame:
     """(doc_id, k_hash, spans) of documents (doc_id, k_hash, body), all different: stretches that repeat earlier strings."""
     place = F.struct("doc_id", "k_hash", "start")
@@ -214,18 +232,26 @@ def repeated_spans(docs: DataFrame, length: int = 100, group: int = 2048) -> Dat
     spots = grams.join(shared, "h").groupBy("doc_id", "k_hash").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("spots"))
     spots = small_side(materialize(spots, "suffix-spots"))
     release(grams)
-    side = spots.select(F.col("doc_id").alias("i"), F.col("k_hash").alias("j"), "spots")
-    held = docs.join(side, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("k_hash") == F.col("j"))).select("doc_id", "k_hash", "spots", "body")
-    contexts = materialize(_context_rows(held, length), "suffix-contexts")
-    refined = contexts.groupBy("h", "c1", "c2").agg(F.min(F.struct("doc_id", "k_hash", "start", "first", "last", "context")).alias("m"))
+    free_shuffles(docs.sparkSession)
+    contexts = materialize(_context_rows(_with_spots(docs, spots), length), "suffix-contexts")
+    release(spots)
+    refined = contexts.groupBy("h", "c").agg(F.min(F.struct("doc_id", "k_hash", "start", "first", "last")).alias("m"), F.count(F.lit(1)).alias("n"))
     refined = materialize(refined, "suffix-refined")
-    copies = contexts.drop("context").join(refined.select("h", "c1", "c2", F.struct("m.doc_id", "m.k_hash", "m.start").alias("head")), ["h", "c1", "c2"])
-    copies = copies.filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "k_hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    many = refined.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    open_rows = refined.join(many, "h").withColumn("k", F.ceil(F.col("n") / group).cast("int")).select("h", "k", "m.*")
-    open_rows = open_rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k_hash", "start"), F.col("k")).cast("int"))
-    dealt = open_rows.repartition("h", "salt").sortWithinPartitions("h", "salt")
+    free_shuffles(docs.sparkSession)
+    heads = refined.filter("n > 1").select("h", "c", F.struct("m.doc_id", "m.k_hash", "m.start").alias("head"))
+    copies = contexts.join(heads, ["h", "c"]).filter(~place.eqNullSafe(F.col("head")))
+    copies = materialize(copies.select("doc_id", "k_hash", F.col("first").alias("start"), (F.col("last") + length).alias("stop")), "suffix-repeats")
+    release(contexts)
+    free_shuffles(docs.sparkSession)
+    many = refined.groupBy("h").agg(F.count(F.lit(1)).alias("buckets")).filter("buckets > 1")
+    left = refined.join(many, "h").select("h", F.ceil(F.col("buckets") / group).cast("int").alias("k"), "m.*")
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k_hash", "start"), F.col("k")).cast("int"))
+    left = left.groupBy("doc_id", "k_hash").agg(F.collect_list(F.struct("h", "k", "salt", "first", "last")).alias("spots"))
+    left = small_side(materialize(left, "suffix-left"))
+    free_shuffles(docs.sparkSession)
+    dealt = _span_rows(_with_spots(docs, left), length).repartition("h", "salt").sortWithinPartitions("h", "salt")
     done = materialize(_refined(dealt, length), "suffix-strings")
+    free_shuffles(docs.sparkSession)
     firsts = done.filter("d1 IS NOT NULL")
     low = firsts.groupBy("d1", "d2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     later = firsts.join(low, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("head"))).select("doc_id", "k_hash", "start", "stop")
