@@ -228,9 +228,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, group: int = 2048) -> Dat
     place = F.struct("doc_id", "k_hash", "start")
     grams = materialize(_anchor_rows(docs, length), "suffix-anchors")
     shared = grams.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    shared = small_side(materialize(shared, "suffix-shared"))
+    shared = materialize(shared, "suffix-shared")
     spots = grams.join(shared, "h").groupBy("doc_id", "k_hash").agg(F.collect_list(F.struct("pos", "lo", "hi", "h")).alias("spots"))
-    spots = small_side(materialize(spots, "suffix-spots"))
+    spots = materialize(spots, "suffix-spots")
     release(grams)
     free_shuffles(docs.sparkSession)
     contexts = materialize(_context_rows(_with_spots(docs, spots), length), "suffix-contexts")
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, group: int = 2048) -> Dat
     left = refined.join(many, "h").select("h", F.ceil(F.col("buckets") / group).cast("int").alias("k"), "m.*")
     left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k_hash", "start"), F.col("k")).cast("int"))
     left = left.groupBy("doc_id", "k_hash").agg(F.collect_list(F.struct("h", "k", "salt", "first", "last")).alias("spots"))
-    left = small_side(materialize(left, "suffix-left"))
+    left = materialize(left, "suffix-left")
     free_shuffles(docs.sparkSession)
     dealt = _span_rows(_with_spots(docs, left), length).repartition("h", "salt").sortWithinPartitions("h", "salt")
     done = materialize(_refined(dealt, length), "suffix-strings")
@@ -287,7 +287,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     on = lambda side: rows["doc_id"].eqNullSafe(side["doc_id"]) & (rows["k_hash"] == side["k_hash"])
     found = repeated_spans(long_enough.join(copies, on(copies), "left_anti"), length)
     whole = copies.select("doc_id", "k_hash", F.array(F.struct(F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("stop"))).alias("spans"))
-    spans = small_side(materialize(found.unionByName(whole), "suffix-spans"))
+    spans = materialize(found.unionByName(whole), "suffix-spans")
+    free_shuffles(docs.sparkSession)
     joined = rows.join(spans, on(spans), "left").select(rows["doc_id"], "body", "spans")
 
     def run(batches):
