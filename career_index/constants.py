@@ -20,11 +20,9 @@ COMMON_CAREER_PATHS = (
     "/en/careers", "/en/jobs",
 )
 
-# Body phrases that mark a career page (searched in the first 5,000 characters).
+# Body phrases that mark a career page (searched in the whole text).
 CAREER_PAGE_PHRASES = ("open positions", "job openings", "vacancies", "apply now")
-CAREER_BODY_SNIPPET = 5000
 
-MAX_JOBS_PER_COMPANY = 25
 
 # Applicant-tracking domains accepted as job hosts (substring test on the host).
 ATS_DOMAINS = (
@@ -54,12 +52,6 @@ ENCYCLOPEDIA_HOST = "wikipedia.org"
 ENCYCLOPEDIA_BASE = "https://en.wikipedia.org"
 ENCYCLOPEDIA_WIKI = "https://en.wikipedia.org/wiki/"
 
-# Listing-directory crawl caps.
-MAX_CATEGORY_PAGES = 8
-MAX_LISTINGS = 60
-# Profile-directory crawl cap.
-MAX_PROFILES = 40
-
 URL_MAX_LEN = 220          # final-record URL limit
 ORIGIN_MAX_LEN = 200       # free-text website limit
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from career_index.constants import (
-    ATS_DOMAINS, CAREER_BODY_SNIPPET, CAREER_KEYWORDS, CAREER_PAGE_PHRASES, JOB_LINK_BLOCKED,
+    ATS_DOMAINS, CAREER_KEYWORDS, CAREER_PAGE_PHRASES, JOB_LINK_BLOCKED,
     JOB_LINK_TOKENS, URL_MAX_LEN,
 )
 from career_index.functions.text import _c, collapse_ws, ustrip
@@ -47,16 +47,16 @@ def has_career_keyword(c) -> Column:
     return F.coalesce(_c(c).rlike(CAREER_KEYWORD_RE), F.lit(False))
 
 
-def body_snippet(body) -> Column:
-    """Lower-cased, whitespace-collapsed body text, first 5,000 characters."""
-    return F.substring(collapse_ws(F.lower(_c(body))), 1, CAREER_BODY_SNIPPET)
+def has_career_phrase(body) -> Column:
+    """A hiring phrase occurs in the lower-cased, whitespace-collapsed body text, wherever it stands."""
+    return F.coalesce(collapse_ws(F.lower(_c(body))).rlike(CAREER_PHRASE_RE), F.lit(False))
 
 
 def is_career_page(url, title, body) -> Column:
-    """keyword in the page title, or keyword in the URL, or a hiring phrase in the body snippet."""
+    """keyword in the page title, or keyword in the URL, or a hiring phrase in the body."""
     t = F.lower(ustrip(F.coalesce(_c(title), F.lit(""))))
     return (has_career_keyword(t) | has_career_keyword(F.lower(_c(url)))
-            | F.coalesce(body_snippet(body).rlike(CAREER_PHRASE_RE), F.lit(False)))
+            | has_career_phrase(body))
 
 
 def is_job_link(title, url) -> Column:

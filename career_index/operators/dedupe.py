@@ -67,18 +67,18 @@ def _job_key(j: Column) -> Column:
 def clean_jobs(jobs) -> Column:
     """Strip titles, final-URL the links, drop blanks, first-wins on lower(title)|lower(url).
 
-    In-row higher-order functions: the key is computed once per element inside one fold.
+    In-row higher-order functions; linear but for the sort, and the key is computed once per element.
     """
     arr = F.coalesce(_c(jobs), F.array().cast(JOB_TYPE))
-    norm = F.transform(arr, lambda j: F.struct(ustrip(F.coalesce(j["title"], F.lit(""))).alias("title"),
-                                               final_url(F.coalesce(j["url"], F.lit(""))).alias("url")))
+    # Each stage stores its result in a field, so no expression is written out twice in the next one.
+    bare = F.transform(arr, lambda j: F.struct(ustrip(F.coalesce(j["title"], F.lit(""))).alias("title"), ustrip(F.coalesce(j["url"], F.lit(""))).alias("url")))
+    norm = F.transform(bare, lambda j: F.struct(j["title"].alias("title"), final_url(j["url"]).alias("url")))
     valid = F.filter(norm, lambda j: (j["title"] != "") & (j["url"] != ""))
-    init = F.struct(F.array().cast("array<string>").alias("k"), F.array().cast(JOB_TYPE).alias("v"))
-    return F.aggregate(
-        valid, init,
-        lambda acc, j: F.when(F.array_contains(acc["k"], _job_key(j)), acc).otherwise(
-            F.struct(F.array_append(acc["k"], _job_key(j)).alias("k"), F.array_append(acc["v"], j).alias("v"))),
-        lambda acc: acc["v"])
+    keyed = F.sort_array(F.transform(valid, lambda j, i: F.struct(_job_key(j).alias("key"), i.alias("i"), j["title"].alias("title"), j["url"].alias("url"))))
+    # Sorted by key and place: the first of each run of equal keys stays, then back to the order of places.
+    runs = F.transform(F.array(keyed), lambda k: F.filter(k, lambda j, n: (n == 0) | (F.get(k, n - 1)["key"] != j["key"])))
+    first = F.sort_array(F.transform(F.element_at(runs, 1), lambda j: F.struct(j["i"].alias("i"), j["title"].alias("title"), j["url"].alias("url"))))
+    return F.transform(first, lambda j: F.struct(j["title"].alias("title"), j["url"].alias("url")))
 
 
 def greedy_dedupe(df: DataFrame, key_a: Column, key_b: Column, order: list[str], max_rounds: int = 10_000) -> DataFrame:
@@ -94,7 +94,7 @@ def greedy_dedupe(df: DataFrame, key_a: Column, key_b: Column, order: list[str],
     from career_index.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     o = F.struct(*order)
-    base = df.withColumn("_o", o).withColumn("_ka", key_a).withColumn("_kb", F.when(key_b != "", key_b))
+    base = df.withColumn("_o", o).withColumn("_ka", F.coalesce(key_a, F.lit(""))).withColumn("_kb", F.when(key_b != "", key_b))
     keys = base.select("_o", "_ka", "_kb").checkpoint(eager=True)
     accepted_parts = []
     undecided = keys
@@ -105,6 +105,8 @@ def greedy_dedupe(df: DataFrame, key_a: Column, key_b: Column, order: list[str],
         acc = cand.join(first_b, ["_kb", "_o"], "left_semi").unionByName(cand.where(F.col("_kb").isNull()))
         acc = acc.checkpoint(eager=True)
         if acc.isEmpty():
+            if not undecided.isEmpty():
+                raise RuntimeError("undecided rows are left; is the order total?")
             break
         accepted_parts.append(acc)
         rest = (undecided.join(acc.select("_o"), "_o", "left_anti")
@@ -113,6 +115,8 @@ def greedy_dedupe(df: DataFrame, key_a: Column, key_b: Column, order: list[str],
         undecided = rest.checkpoint(eager=True)
         if undecided.isEmpty():
             break
+    else:
+        raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
     if not accepted_parts:
         return df.limit(0)
     accepted = reduce(lambda a, b: a.unionByName(b), accepted_parts).select("_o")

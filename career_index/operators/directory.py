@@ -1,42 +1,39 @@
 """Candidate extraction from directory and list sites (X4-X12 compositions, J2, J4, J5, W2, F3, Q8).
 
 ``seeds``: (source, list_rank, url). Every crawl step is a fetch (equi-join on the normalised
-URL) followed by page-local extraction; ordered caps are ``row_number`` filters over small,
-already-extracted link tables.
+URL) followed by page-local extraction. All linked categories, listings and profiles are read;
+``max_...`` arguments limit them on request.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from career_index.constants import EUROPE_COUNTRIES, MAX_CATEGORY_PAGES, MAX_LISTINGS, MAX_PROFILES
+from career_index.constants import EUROPE_COUNTRIES
 from career_index.functions import predicates as P
 from career_index.functions.text import name_key, ustrip
 from career_index.functions.urls import normalize_url
 from career_index.operators import extract as X
 from career_index.operators.dedupe import first_wins, greedy_dedupe
 from career_index.operators.enrich import page_index
+from career_index.operators.ranking import with_rank
+from career_index.storage import stored
 
 CANDIDATE_COLS = ("source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source", "source_url")
 
 
-def _fetch_pages(urls: DataFrame, pages: DataFrame, url_col: str = "url", bounded: bool = False) -> DataFrame:
-    """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL.
-
-    ``bounded=True`` only for request lists capped by a crawl limit (at most a few dozen
-    rows): that side is broadcast so page bodies are not shuffled for a handful of pages."""
+def _fetch_pages(urls: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL."""
     idx = page_index(pages)
-    hit = urls.join(idx, normalize_url(url_col) == idx["key"]).drop("key")
-    if bounded:
-        return pages.select("page_id", "html").join(F.broadcast(hit), "page_id")
+    hit = stored(urls.join(idx, normalize_url(url_col) == idx["key"]).drop("key"), "requests")
     return hit.join(pages.select("page_id", "html"), "page_id")
 
 
-def _first_k(df: DataFrame, order, k: int, rank_col: str) -> DataFrame:
-    """The first ``k`` rows by ``order`` (a bounded top-k), numbered 1..k."""
-    top = df.orderBy(order).limit(k)
-    return top.withColumn(rank_col, F.row_number().over(Window.orderBy(order)))
+def _first_k(df: DataFrame, order, k: int | None, rank_col: str) -> DataFrame:
+    """All rows ranked by ``order`` from 1, or the first ``k`` of them."""
+    ranked = with_rank(df, order, rank_col=rank_col)
+    return ranked if k is None else ranked.where(F.col(rank_col) <= k)
 
 
 def fill_websites(rows: DataFrame, pages: DataFrame) -> DataFrame:
@@ -56,9 +53,8 @@ def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bo
     lp = _fetch_pages(s, pages, "source_url")
     rows = X.list_rows(lp.select("page_id", "html")).join(lp.select("page_id", "list_rank", "source_url"), "page_id")
     rows = fill_websites(rows, pages)
-    # seq = (list rank, table, row) packed into one order-preserving long
-    rows = rows.withColumn("seq", F.col("list_rank").cast("long") * 10 ** 8 + F.col("table_pos").cast("long") * 10 ** 5
-                           + F.col("row_pos"))
+    # Places keep their order as ranks: no width is assumed for tables or rows.
+    rows = with_rank(rows, "list_rank", "table_pos", "row_pos", rank_col="seq")
     kept = greedy_dedupe(rows, name_key("name"), F.col("website"), ["seq"])
     if europe_only:
         kept = kept.where(P.is_listed_country(F.col("country"), EUROPE_COUNTRIES))
@@ -67,16 +63,16 @@ def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bo
 
 
 def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
-                    max_categories: int = MAX_CATEGORY_PAGES, max_listings: int = MAX_LISTINGS) -> DataFrame:
+                    max_categories: int | None = None, max_listings: int | None = None) -> DataFrame:
     """Root -> first categories (in link order) -> first distinct listings -> records -> W1."""
-    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages, bounded=True)
+    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages)
     cats = X.category_urls(r.select("page_id", "html"), root)
     cats = _first_k(cats, F.col("pos"), max_categories, "cat_rank")
-    cp = _fetch_pages(cats.select("cat_rank", "url"), pages, bounded=True)
+    cp = _fetch_pages(cats.select("cat_rank", "url"), pages)
     lst = X.listing_urls(cp.select("page_id", "html"), root).join(cp.select("page_id", "cat_rank"), "page_id")
     first = lst.groupBy("url").agg(F.min(F.struct("cat_rank", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_listings, "n")
-    lp = _fetch_pages(first.select("n", "url"), pages, bounded=True)
+    lp = _fetch_pages(first.select("n", "url"), pages)
     recs = X.listing_records(lp.select("page_id", "url", "html"), source).join(lp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
@@ -85,15 +81,15 @@ def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
 
 
 def crawl_profiles(pages: DataFrame, seeds: DataFrame, source: str, host_token: str, marker: str,
-                   max_profiles: int = MAX_PROFILES) -> DataFrame:
+                   max_profiles: int | None = None) -> DataFrame:
     """List pages (challenge pages skipped) -> distinct profile URLs in (list, stage, pos)
-    order, capped -> profile pages (challenge pages skipped) -> records (X12) -> W1."""
+    order -> profile pages (challenge pages skipped) -> records (X12) -> W1."""
     s = seeds.where(F.col("source") == source).select("list_rank", "url")
     lp = _fetch_pages(s, pages).where(~P.is_challenge("html"))
     pu = X.profile_urls(lp.select("page_id", "url", "html"), host_token, marker).join(lp.select("page_id", "list_rank"), "page_id")
     first = pu.groupBy("url").agg(F.min(F.struct("list_rank", "stage", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_profiles, "n")
-    pp = _fetch_pages(first.select("n", "url"), pages, bounded=True).where(~P.is_challenge("html"))
+    pp = _fetch_pages(first.select("n", "url"), pages).where(~P.is_challenge("html"))
     recs = X.profile_records(pp.select("page_id", "url", "html"), source).join(pp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]

@@ -2,7 +2,7 @@
 
 A fetch is an equi-join on the normalised URL against a page index that is unique on that key
 (lowest ``page_id`` wins). Page-local extraction (anchors, text, JSON-LD) happens before any
-join, so ``html`` never crosses a shuffle. Career search runs once per distinct home URL and job
+join. Career search runs once per distinct home URL and job
 extraction once per distinct (career page, company host): companies sharing a hub site do not
 multiply the work, and the per-home groups are bounded by the links of one page.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from career_index.constants import COMMON_CAREER_PATHS, MAX_JOBS_PER_COMPANY
+from career_index.constants import COMMON_CAREER_PATHS
 from career_index.functions import predicates as P
 from career_index.functions.text import ustrip
 from career_index.functions.urls import ensure_scheme, netloc, normalize_url, resolve_url, url_path, with_absolute
@@ -22,8 +22,10 @@ JOB_TYPE = "array<struct<title:string,url:string>>"
 
 
 def page_index(pages: DataFrame) -> DataFrame:
-    """Pages keyed by normalised URL, one page per key (lowest ``page_id``): (key, page_id)."""
-    keyed = pages.select(normalize_url("url").alias("key"), "page_id")
+    """Pages keyed by normalised URL, one page per key (lowest ``page_id``): (key, page_id).
+
+    A page without content counts as a miss, as a failed fetch would."""
+    keyed = pages.where(F.length(F.btrim("html")) > 0).select(normalize_url("url").alias("key"), "page_id")
     return keyed.groupBy("key").agg(F.min("page_id").alias("page_id"))
 
 
@@ -61,13 +63,13 @@ def allow_urls(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "ur
 
 def page_features(pages: DataFrame) -> dict[str, DataFrame]:
     """Page-local extraction done once per page and materialised with reliable checkpoints:
-    ``index`` (key, page_id), ``anchors``, ``texts`` (page_id, title, body snippet), ``ld``."""
+    ``index`` (key, page_id), ``anchors``, ``texts`` (page_id, title, whether the body has a hiring phrase), ``ld``."""
     from career_index.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(pages.sparkSession)
     idx = page_index(pages).checkpoint(eager=True)
     pick = pages.join(idx.select("page_id"), "page_id", "left_semi")
     anchors = X.anchors(pick.select("page_id", "html"), "html", ["page_id"]).checkpoint(eager=True)
-    texts = X.page_text(pick).select("page_id", "title", P.body_snippet("body").alias("body")).checkpoint(eager=True)
+    texts = X.page_text(pick).select("page_id", "title", P.has_career_phrase("body").alias("phrase")).checkpoint(eager=True)
     ld = X.json_ld(pick).checkpoint(eager=True)
     return {"index": idx, "anchors": anchors, "texts": texts, "ld": ld}
 
@@ -94,15 +96,15 @@ def career_pages(homes: DataFrame, feats: dict[str, DataFrame]) -> DataFrame:
     fetched = cands.join(idx, normalize_url("cand") == idx["key"]).drop("key")
     valid = fetched.join(feats["texts"], "page_id").where(
         P.has_career_keyword(F.lower(ustrip("title"))) | P.has_career_keyword(F.lower("cand"))
-        | F.coalesce(F.col("body").rlike(P.CAREER_PHRASE_RE), F.lit(False)))
+        | F.col("phrase"))
     return valid.groupBy("home").agg(F.min_by("cand", F.struct("stage", "pos")).alias("career_page_url"))
 
 
-def company_jobs(sites: DataFrame, feats: dict[str, DataFrame], cap: int = MAX_JOBS_PER_COMPANY) -> DataFrame:
+def company_jobs(sites: DataFrame, feats: dict[str, DataFrame], cap: int | None = None) -> DataFrame:
     """W4 (+X13, X15, F11, F12): jobs per (career_page_url, company_domain).
 
     JSON-LD postings first (walk order), then job links (link order); first-wins on
-    lower(url) (or lower(title)) across both; at most ``cap``.
+    lower(url) (or lower(title)) across both; all of them, or the first ``cap``.
     """
     idx = feats["index"]
     cp = sites.join(idx, normalize_url("career_page_url") == idx["key"]).select(
@@ -121,7 +123,7 @@ def company_jobs(sites: DataFrame, feats: dict[str, DataFrame], cap: int = MAX_J
     o = F.struct("stage", "path")
     g = ["career_page_url", "company_domain"]
     first = allj.groupBy(*g, "key").agg(F.min_by(F.struct("title", "url"), o).alias("job"), F.min(o).alias("o"))
-    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(*g).orderBy("o"))).where(F.col("n") <= cap)
+    ranked = first if cap is None else first.withColumn("n", F.row_number().over(Window.partitionBy(*g).orderBy("o"))).where(F.col("n") <= cap)
     return ranked.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("o", "job"))).alias("js")).select(
         *g, F.transform("js", lambda x: x["job"]).alias("jobs"))
 

@@ -106,8 +106,10 @@ def _kind(j: Column) -> Column:
     return F.when(t.startswith("{"), F.lit("o")).when(t.startswith("["), F.lit("a")).otherwise(F.lit("s"))
 
 
-def job_postings(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
-    """JobPosting objects at any depth (unrolled to ``max_depth`` levels) in document order.
+def job_postings(payloads: DataFrame, max_depth: int = 200) -> DataFrame:
+    """JobPosting objects at any depth in document order, level by level until none is left.
+
+    Raises if there are more than ``max_depth`` levels; it never returns short.
 
     Objects are read with ``from_json`` into ``map<string,string>``, which keeps key order, so
     nested postings come out in document (pre-)order. Returns (page_id, path, title, url)
@@ -119,7 +121,11 @@ def job_postings(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
     level = payloads.select("page_id", F.array(F.col("script_pos")).alias("path"), F.col("raw").alias("j")) \
         .checkpoint(eager=True)
     found = []
-    for _ in range(max_depth + 1):
+    for depth in range(max_depth + 2):
+        if depth and level.isEmpty():
+            break
+        if depth > max_depth:
+            raise ValueError(f"JSON is nested deeper than {max_depth} levels")
         k = _kind(F.col("j"))
         obj = F.from_json(F.col("j"), "map<string,string>")
         typ = obj.getItem("@type")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from career_index.constants import COUNTRY_ISO, PAGE_SIZE, UNTITLED_ROLE
 from career_index.functions.text import contains_folded, fold, ustrip
 from career_index.operators.ranking import with_rank
+from career_index.storage import stored
 
 COMPANY_SORTS = {"company": "name", "country": "country_of_origin", "source": "source", "jobs_count": None}
 JOB_SORTS = {"company": "company_name", "country": "country_of_origin", "source": "source", "title": "title"}
@@ -203,12 +204,11 @@ def facet_values(df: DataFrame, column: str, find: str | None = None, rank: bool
 def page(df: DataFrame, order: list[Column], page_number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     """One page of ``size`` rows; the page is clamped to [1, max(1, ceil(n / size))].
 
-    One count, then a bounded top-(offset + size) sort: no full global ranking is needed.
+    The rows are ranked in parallel once; their number and the page both come from the ranked table, and
+    a page is a filter on the rank, so the last page costs as much as the first.
     """
-    n = df.count()
-    total_pages = max(1, math.ceil(n / size))
-    p = min(max(1, int(page_number)), total_pages)
+    ranked = stored(with_rank(df, *order), "pages")
+    n = ranked.count()
+    p = min(max(1, int(page_number)), max(1, math.ceil(n / size)))
     start = (p - 1) * size
-    rows = df.orderBy(*order).offset(start).limit(size)
-    w = Window.orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w) + F.lit(start)).withColumn("page", F.lit(p))
+    return ranked.where(F.col("rank").between(start + 1, start + size)).withColumn("page", F.lit(p))

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from career_index.storage import stored
+
 COMPANY_SCHEMA = ("name string, website string, career_page_url string, country_of_origin string, source string, "
                   "jobs array<struct<title:string,url:string>>, ord long")
+FIELDS = ("name", "website", "career_page_url", "country_of_origin", "source", "jobs")
 HEALTH_SCHEMA = ("generated_at_utc string, candidates struct<wikipedia:bigint, wikipedia_global:bigint, "
                  "eu_startups:bigint, clutch:bigint, themanifest:bigint, total_raw:bigint, total_deduped:bigint>, "
                  "enriched_with_careers bigint, final_merged bigint, final_by_source map<string,bigint>")
@@ -22,15 +25,29 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _load(spark: SparkSession, path: str, fmt: str, mode: str = "PERMISSIVE") -> DataFrame:
+    """Rows of a snapshot: one object per line, or one JSON array over many lines in a single file."""
+    reader = spark.read.schema(COMPANY_SCHEMA).option("mode", mode)
+    if fmt != "json":
+        return reader.format(fmt).load(path)
+    head = spark.read.text(path, wholetext=False).where("trim(value) != ''").limit(1).collect()
+    return reader.option("multiLine", bool(head) and head[0][0].lstrip().startswith("[")).json(path)
+
+
+def _with_ord(df: DataFrame) -> DataFrame:
+    """Rows keep their own ``ord``; where it is missing, rows follow in the order of the file."""
+    if df.where("ord IS NULL").isEmpty():
+        return df
+    return stored(df.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id())), "snapshot")
+
+
 def read_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Snapshot for merging; a missing path gives an empty table; rows that are not
     objects (no fields) are dropped. Without ``ord`` in the data, file order is used."""
     if not _exists(spark, path):
         return spark.createDataFrame([], COMPANY_SCHEMA)
-    df = spark.read.schema(COMPANY_SCHEMA).format(fmt).load(path)
-    df = df.where(F.coalesce(*[F.col(c).isNotNull() for c in ("name", "website", "career_page_url",
-                                                                "country_of_origin", "source", "jobs")]))
-    return df.withColumn("ord", F.coalesce(F.col("ord"), F.monotonically_increasing_id()))
+    df = _with_ord(_load(spark, path, fmt))
+    return df.where(" OR ".join(f"{c} IS NOT NULL" for c in FIELDS))
 
 
 def read_served_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -38,12 +55,9 @@ def read_served_companies(spark: SparkSession, path: str, fmt: str = "json") ->
     is an error (FAILFAST)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], COMPANY_SCHEMA)
-    df = spark.read.schema(COMPANY_SCHEMA).option("mode", "FAILFAST").format(fmt).load(path)
-    ok = F.lit(True)
-    for c in ("name", "website", "career_page_url", "country_of_origin", "source", "jobs"):
-        ok = ok & F.col(c).isNotNull()
-    df = df.where(ok & (F.col("career_page_url") != ""))
-    return df.withColumn("ord", F.coalesce(F.col("ord"), F.monotonically_increasing_id()))
+    df = _with_ord(_load(spark, path, fmt, "FAILFAST"))
+    df = df.where(" AND ".join(f"{c} IS NOT NULL" for c in FIELDS)).where("career_page_url != ''")
+    return df.orderBy(F.lower("name"), "ord")
 
 
 def write_companies(df: DataFrame, path: str, fmt: str = "json") -> None:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from career_index.operators.dedupe import greedy_dedupe
@@ -11,40 +12,27 @@ from career_index.functions.urls import normalize_url
 
 
 def model_w8(records):
-    """records: list of dicts in global order with final fields + ord. Returns {rec ord: slot ord}."""
-    merged, by_domain, by_name = [], {}, {}
-
-    def dk(url):
-        host = url.split("://", 1)[1].split("/")[0].split("?")[0].split("#")[0].lower()
-        return host[4:] if host.startswith("www.") else host
-
-    def nk(name):
-        return " ".join(name.lower().split())
-
-    def score(r):
-        return (7 + (r["country_of_origin"].lower() != "unknown") + (r["source"].lower() != "unknown")
-                + (len(r["jobs"]) > 0))
-
-    for r in records:
-        d, n = dk(r["website"]), nk(r["name"])
-        ex = by_domain.get(d) if d and d in by_domain else by_name.get(n)
-        if ex is None:
-            merged.append([r, r["ord"]])
-            by_name[n] = r
-            if d:
-                by_domain[d] = r
+    """{order of the record that holds a place: order of the record that opened it}, for records in global order."""
+    points, place = {}, {}  # key -> index of a record; index -> order of the opener of its place
+
+    def tags(r):
+        host = r["website"].partition("://")[2].partition("/")[0].lower().removeprefix("www.")
+        return ([("domain", host)] if host else []) + [("name", " ".join(r["name"].lower().split()))]
+
+    def facts(r):
+        known = r["country_of_origin"] != "Unknown"
+        return known + (r["source"] != "unknown") + bool(r["jobs"]), known, -len(r["career_page_url"])
+
+    for k, r in enumerate(records):
+        at = next((points[t] for t in tags(r) if t in points), None)
+        if at is not None and not any(new > old for new, old in zip(facts(r), facts(records[at]), strict=True)):
             continue
-        if (score(r) > score(ex) or (ex["country_of_origin"].lower() == "unknown"
-                                     and r["country_of_origin"].lower() != "unknown")
-                or len(r["career_page_url"]) < len(ex["career_page_url"])):
-            for slot in merged:
-                if slot[0] is ex:
-                    slot[0] = r
-                    break
-            by_name[n] = r
-            if d:
-                by_domain[d] = r
-    return {slot[0]["ord"]: slot[1] for slot in merged}
+        if at is None:
+            place[k] = r["ord"]
+        elif at in place:
+            place[k] = place.pop(at)
+        points.update(dict.fromkeys(tags(r), k))
+    return {records[k]["ord"]: opener for k, opener in place.items()}
 
 
 def random_records(rng, n):
@@ -81,17 +69,11 @@ def test_w8_matches_sequential_model(spark):
 
 
 def model_w2(rows):
-    names, webs, keep = set(), set(), []
-    for o, n, w in rows:
-        if w and w in webs:
-            continue
-        if n in names:
-            continue
-        if w:
-            webs.add(w)
-        names.add(n)
-        keep.append(o)
-    return keep
+    kept = []
+    for row in rows:
+        if all(row[1] != k[1] and (not row[2] or row[2] != k[2]) for k in kept):
+            kept.append(row)
+    return [o for o, _, _ in kept]
 
 
 def test_w2_matches_sequential_model(spark):
@@ -108,3 +90,15 @@ def test_w2_third_row_kept(spark):
     df = spark.createDataFrame([(1, "n1", "w1"), (2, "n1", "w2"), (3, "n3", "w2")], "o long, name string, website string")
     got = sorted(r.o for r in greedy_dedupe(df, name_key("name"), normalize_url("website"), ["o"]).collect())
     assert got == [1, 3]
+
+
+def test_w2_raises_instead_of_returning_short(spark):
+    rows = [(i, f"n{(i + 1) // 2}", f"w{i // 2}") for i in range(24)]
+    df = spark.createDataFrame(rows, "o long, name string, website string")
+    with pytest.raises(RuntimeError, match="undecided"):
+        greedy_dedupe(df, name_key("name"), normalize_url("website"), ["o"], max_rounds=3)
+
+
+def test_w2_keeps_a_row_with_a_null_key(spark):
+    df = spark.createDataFrame([(1, None, "w1"), (2, "n", "w2")], "o long, name string, website string")
+    assert sorted(r.o for r in greedy_dedupe(df, F.col("name"), F.col("website"), ["o"]).collect()) == [1, 2]
