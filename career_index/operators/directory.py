@@ -23,11 +23,14 @@ from career_index.storage import stored
 CANDIDATE_COLS = ("source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source", "source_url")
 
 
-def _fetch_pages(urls: DataFrame, pages: DataFrame, url_col: str = "url") -> DataFrame:
+def _fetch_pages(urls: DataFrame, pages: DataFrame, index: DataFrame, url_col: str = "url") -> DataFrame:
     """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL."""
-    idx = page_index(pages)
-    hit = stored(urls.join(idx, normalize_url(url_col) == idx["key"]).drop("key"), "requests")
-    return hit.join(pages.select("page_id", "html"), "page_id")
+    hit = stored(urls.join(index, normalize_url(url_col) == index["key"]).drop("key"), "requests")
+    return stored(hit.join(pages.select("page_id", "html"), "page_id"), "fetched")
+
+
+def _index(pages: DataFrame, index: DataFrame | None) -> DataFrame:
+    return stored(page_index(pages), "page-index") if index is None else index
 
 
 def _first_k(df: DataFrame, order, k: int | None, rank_col: str) -> DataFrame:
@@ -36,10 +39,10 @@ def _first_k(df: DataFrame, order, k: int | None, rank_col: str) -> DataFrame:
     return ranked if k is None else ranked.where(F.col(rank_col) <= k)
 
 
-def fill_websites(rows: DataFrame, pages: DataFrame) -> DataFrame:
+def fill_websites(rows: DataFrame, pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Rows without a website take the article page's website (X7); kept when no page."""
     need = rows.where((F.col("website") == "") & (F.col("company_wiki_url") != "")).select("company_wiki_url").distinct()
-    art = _fetch_pages(need, pages, "company_wiki_url")
+    art = _fetch_pages(need, pages, _index(pages, index), "company_wiki_url")
     found = X.infobox_website(art.select("page_id", "html")).join(art.select("page_id", "company_wiki_url"), "page_id")
     found = found.groupBy("company_wiki_url").agg(F.min("website").alias("_filled"))
     out = rows.join(found, "company_wiki_url", "left")
@@ -47,12 +50,14 @@ def fill_websites(rows: DataFrame, pages: DataFrame) -> DataFrame:
                           .otherwise(F.col("website"))).drop("_filled")
 
 
-def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bool = False) -> DataFrame:
+def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bool = False,
+                index: DataFrame | None = None) -> DataFrame:
     """List-table source: rows of the seed list pages -> J2 -> W2 (-> F3 for the global list)."""
     s = seeds.where(F.col("source") == source).select("list_rank", F.col("url").alias("source_url"))
-    lp = _fetch_pages(s, pages, "source_url")
+    index = _index(pages, index)
+    lp = _fetch_pages(s, pages, index, "source_url")
     rows = X.list_rows(lp.select("page_id", "html")).join(lp.select("page_id", "list_rank", "source_url"), "page_id")
-    rows = fill_websites(rows, pages)
+    rows = fill_websites(rows, pages, index)
     # Places keep their order as ranks: no width is assumed for tables or rows.
     rows = with_rank(rows, "list_rank", "table_pos", "row_pos", rank_col="seq")
     kept = greedy_dedupe(rows, name_key("name"), F.col("website"), ["seq"])
@@ -63,16 +68,18 @@ def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bo
 
 
 def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
-                    max_categories: int | None = None, max_listings: int | None = None) -> DataFrame:
+                    max_categories: int | None = None, max_listings: int | None = None,
+                    index: DataFrame | None = None) -> DataFrame:
     """Root -> first categories (in link order) -> first distinct listings -> records -> W1."""
-    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages)
+    index = _index(pages, index)
+    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages, index)
     cats = X.category_urls(r.select("page_id", "html"), root)
     cats = _first_k(cats, F.col("pos"), max_categories, "cat_rank")
-    cp = _fetch_pages(cats.select("cat_rank", "url"), pages)
+    cp = _fetch_pages(cats.select("cat_rank", "url"), pages, index)
     lst = X.listing_urls(cp.select("page_id", "html"), root).join(cp.select("page_id", "cat_rank"), "page_id")
     first = lst.groupBy("url").agg(F.min(F.struct("cat_rank", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_listings, "n")
-    lp = _fetch_pages(first.select("n", "url"), pages)
+    lp = _fetch_pages(first.select("n", "url"), pages, index)
     recs = X.listing_records(lp.select("page_id", "url", "html"), source).join(lp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
@@ -81,15 +88,16 @@ def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
 
 
 def crawl_profiles(pages: DataFrame, seeds: DataFrame, source: str, host_token: str, marker: str,
-                   max_profiles: int | None = None) -> DataFrame:
+                   max_profiles: int | None = None, index: DataFrame | None = None) -> DataFrame:
     """List pages (challenge pages skipped) -> distinct profile URLs in (list, stage, pos)
     order -> profile pages (challenge pages skipped) -> records (X12) -> W1."""
     s = seeds.where(F.col("source") == source).select("list_rank", "url")
-    lp = _fetch_pages(s, pages).where(~P.is_challenge("html"))
+    index = _index(pages, index)
+    lp = _fetch_pages(s, pages, index).where(~P.is_challenge("html"))
     pu = X.profile_urls(lp.select("page_id", "url", "html"), host_token, marker).join(lp.select("page_id", "list_rank"), "page_id")
     first = pu.groupBy("url").agg(F.min(F.struct("list_rank", "stage", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_profiles, "n")
-    pp = _fetch_pages(first.select("n", "url"), pages).where(~P.is_challenge("html"))
+    pp = _fetch_pages(first.select("n", "url"), pages, index).where(~P.is_challenge("html"))
     recs = X.profile_records(pp.select("page_id", "url", "html"), source).join(pp.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
@@ -98,11 +106,12 @@ def crawl_profiles(pages: DataFrame, seeds: DataFrame, source: str, host_token:
 
 
 def build_directory(pages: DataFrame, seeds: DataFrame, directory_root: str) -> dict[str, DataFrame]:
-    """Q8: candidates per source, in source order."""
+    """Q8: candidates per source, in source order. One page index serves every fetch of the build."""
+    index = _index(pages, None)
     return {
-        "wikipedia": list_source(pages, seeds, "wikipedia"),
-        "wikipedia_global": list_source(pages, seeds, "wikipedia_global", europe_only=True),
-        "eu_startups": crawl_directory(pages, directory_root),
-        "clutch": crawl_profiles(pages, seeds, "clutch", "clutch.co", "profile"),
-        "themanifest": crawl_profiles(pages, seeds, "themanifest", "themanifest.com", "company"),
+        "wikipedia": list_source(pages, seeds, "wikipedia", index=index),
+        "wikipedia_global": list_source(pages, seeds, "wikipedia_global", europe_only=True, index=index),
+        "eu_startups": crawl_directory(pages, directory_root, index=index),
+        "clutch": crawl_profiles(pages, seeds, "clutch", "clutch.co", "profile", index=index),
+        "themanifest": crawl_profiles(pages, seeds, "themanifest", "themanifest.com", "company", index=index),
     }

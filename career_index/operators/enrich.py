@@ -17,6 +17,7 @@ from career_index.functions import predicates as P
 from career_index.functions.text import ustrip
 from career_index.functions.urls import ensure_scheme, netloc, normalize_url, resolve_url, url_path, with_absolute
 from career_index.operators import extract as X
+from career_index.storage import stored
 
 JOB_TYPE = "array<struct<title:string,url:string>>"
 
@@ -50,28 +51,33 @@ def allow_urls(urls: DataFrame, rules: DataFrame, agent: str, url_col: str = "ur
         F.min(F.struct("_prio", "ord", "agent")).alias("_g")).select("_domain", F.col("_g.agent").alias("agent"))
     chosen = r.withColumnRenamed("domain", "_domain").join(group, ["_domain", "agent"]).select(
         "_domain", "ord", "allow", "prefix")
-    u = urls.withColumn("_uid", F.monotonically_increasing_id()) if "_uid" not in urls.columns else urls
+    # Each distinct URL is judged once; the verdict joins back on the URL.
+    u = urls.select(url_col).distinct()
     path = url_path(url_col)
     q = F.regexp_extract(F.col(url_col), r"^[^?#]*\?([^#]*)", 1)
     target = F.concat(F.when(path == "", F.lit("/")).otherwise(path), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
     u = u.withColumn("_domain", netloc(url_col)).withColumn("_path", target)
-    hits = u.select("_uid", "_domain", "_path").join(chosen, "_domain").where(F.col("_path").startswith(F.col("prefix")))
-    verdict = hits.groupBy("_uid").agg(F.min_by("allow", "ord").alias("_allow"))
-    out = u.join(verdict, "_uid", "left").where(F.coalesce("_allow", F.lit(True)))
-    return out.drop("_uid", "_domain", "_path", "_allow")
+    hits = u.join(chosen, "_domain").where(F.col("_path").startswith(F.col("prefix")))
+    verdict = hits.groupBy(url_col).agg(F.min_by("allow", "ord").alias("_allow"))
+    return urls.join(verdict.where(~F.col("_allow")), url_col, "left_anti")
 
 
 def page_features(pages: DataFrame) -> dict[str, DataFrame]:
-    """Page-local extraction done once per page and materialised with reliable checkpoints:
-    ``index`` (key, page_id), ``anchors``, ``texts`` (page_id, title, whether the body has a hiring phrase), ``ld``."""
-    from career_index.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(pages.sparkSession)
-    idx = page_index(pages).checkpoint(eager=True)
-    pick = pages.join(idx.select("page_id"), "page_id", "left_semi")
-    anchors = X.anchors(pick.select("page_id", "html"), "html", ["page_id"]).checkpoint(eager=True)
-    texts = X.page_text(pick).select("page_id", "title", P.has_career_phrase("body").alias("phrase")).checkpoint(eager=True)
-    ld = X.json_ld(pick).checkpoint(eager=True)
-    return {"index": idx, "anchors": anchors, "texts": texts, "ld": ld}
+    """Page-local extraction in one map-only pass over the pages, written once; ``html`` is not shuffled.
+
+    ``index`` (key, page_id), ``anchors``, ``texts`` (page_id, title, whether the body has a hiring phrase), ``ld``.
+    A page without content counts as a miss.
+    """
+    parts = X.page_text(pages, "url", X.anchor_tags("html").alias("anchor_tags"), X.ld_scripts("html").alias("ld_scripts"),
+                        has_content=True)
+    parts = stored(parts.select("page_id", normalize_url("url").alias("key"), "title",
+                                P.has_career_phrase("body").alias("phrase"), "anchor_tags", "ld_scripts"), "page-parts")
+    idx = stored(parts.groupBy("key").agg(F.min("page_id").alias("page_id")), "page-index")
+    pick = parts.join(idx.select("page_id"), "page_id", "left_semi")
+    return {"index": idx,
+            "anchors": stored(X.parse_anchors(pick, "anchor_tags", ["page_id"]), "page-anchors"),
+            "texts": parts.select("page_id", "title", "phrase"),
+            "ld": stored(X.parse_ld(pick, "ld_scripts"), "page-ld")}
 
 
 def career_pages(homes: DataFrame, feats: dict[str, DataFrame]) -> DataFrame:

@@ -9,6 +9,9 @@ with a single space as the scrapers did.
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,16 +20,43 @@ from career_index.functions import predicates as P
 from career_index.functions.text import _c, clean_cell, collapse_ws, ustrip
 from career_index.functions.urls import canonical_origin, netloc, normalize_url, resolve_url, with_absolute
 
-ANCHOR_RE = r"(?is)<a\s[^>]*>.*?</a>"
+# The rest of an opening tag; a quoted value may hold ">".
+TAG_REST = r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+"
+# One step through an opening tag, never ending inside a quoted value.
+TAG_STEP = r"(?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[^>=\s]++|\s)"
+ANCHOR_RE = rf"(?is)<a\s{TAG_REST}>.*?</a>"
+ENTITY_RE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 SCRIPT_LD_RE = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 
 
+def class_value(token: str) -> str:
+    """Pattern of a ``class`` attribute that holds ``token`` as a whole word between blanks or quotes."""
+    return rf"class\s*=\s*[\"'](?:[^\"']*\s)?{token}(?:\s[^\"']*)?[\"']"
+
+
+def _code_point(code: Column) -> Column:
+    """The character of a code point; U+FFFD where there is none."""
+    ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+
+
 def decode_entities(c) -> Column:
+    """Character references replaced once: numeric ones, and the named ones of HTML 4 and ``&apos;``."""
     x = _c(c)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(ent), F.lit(ch))
-    return x
+    named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})), "map<string,string>")
+
+    # Staged, so that no expression is written out twice in the next one.
+    parts = F.transform(F.split(x, "&"), lambda t, i: F.struct(
+        t.alias("t"), F.when(i > 0, F.regexp_extract(t, ENTITY_RE, 1)).alias("ref")))
+    coded = F.transform(parts, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
+        p["ref"].startswith("#"), F.when(F.substring(p["ref"], 2, 1).isin("x", "X"), F.conv(F.substring(p["ref"], 3, 9), 16, 10))
+        .otherwise(F.substring(p["ref"], 2, 9))).try_cast("bigint").alias("code")))
+    chars = F.transform(coded, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
+        p["code"].isNotNull(), _code_point(p["code"])).when(p["ref"] != "", F.element_at(named, p["ref"])).alias("char")))
+    return F.array_join(F.transform(chars, lambda p: F.when(p["ref"].isNull(), p["t"]).when(
+        p["char"].isNull(), F.concat(F.lit("&"), p["t"])).otherwise(
+        F.concat(p["char"], F.substr(p["t"], F.length(p["ref"]) + F.lit(2))))), "")
 
 
 def tag_text(inner) -> Column:
@@ -36,24 +66,34 @@ def tag_text(inner) -> Column:
 
 def attr(tag, name: str) -> Column:
     """Value of attribute ``name`` in an opening tag ('' when absent); entities decoded."""
-    pat = rf"(?is)^<\w+(?:\s[^>]*?)?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    pat = rf"(?is)^<\w+{TAG_STEP}*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
     t = _c(tag)
     return decode_entities(F.concat(F.regexp_extract(t, pat, 1), F.regexp_extract(t, pat, 2), F.regexp_extract(t, pat, 3)))
 
 
 def has_attr(tag, name: str) -> Column:
-    return _c(tag).rlike(rf"(?is)^<\w+(?:\s[^>]*?)?\s{name}\s*=")
+    return _c(tag).rlike(rf"(?is)^<\w+{TAG_STEP}*?\s{name}\s*=")
 
 
 def _anchor_parts(a: Column):
-    open_tag = F.regexp_extract(a, r"(?is)^(<a\s[^>]*>)", 1)
-    inner = F.regexp_extract(a, r"(?is)^<a\s[^>]*>(.*)</a>\z", 1)
+    open_tag = F.regexp_extract(a, rf"(?is)^(<a\s{TAG_REST}>)", 1)
+    inner = F.regexp_extract(a, rf"(?is)^<a\s{TAG_REST}>(.*)</a>\z", 1)
     return open_tag, inner
 
 
-def anchors(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
-    """Explode every ``<a href=...>`` of ``html_col`` -> keep + (pos, href, text, title, aria_label)."""
-    ex = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_RE), 0)).alias("pos", "_a"))
+def shown(html) -> Column:
+    """Markup without comments, scripts and styles."""
+    return F.regexp_replace(_c(html), HIDDEN_RE, " ")
+
+
+def anchor_tags(html) -> Column:
+    """Every ``<a ...>...</a>`` of the shown markup, as written."""
+    return F.regexp_extract_all(shown(html), F.lit(ANCHOR_RE), 0)
+
+
+def parse_anchors(df: DataFrame, tags, keep: list[str]) -> DataFrame:
+    """Explode anchor tags -> keep + (pos, href, text, title, aria_label); anchors without ``href`` go."""
+    ex = df.select(*keep, F.posexplode(_c(tags)).alias("pos", "_a"))
     open_tag, inner = _anchor_parts(F.col("_a"))
     ex = ex.where(has_attr(open_tag, "href"))
     return ex.select(*keep, "pos",
@@ -63,6 +103,11 @@ def anchors(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
                      ustrip(attr(open_tag, "aria-label")).alias("aria_label"))
 
 
+def anchors(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
+    """Every ``<a href=...>`` of ``html_col``: keep + (pos, href, text, title, aria_label)."""
+    return parse_anchors(df, anchor_tags(html_col), keep)
+
+
 def links(pages: DataFrame, base: Column | None = None) -> DataFrame:
     """One row per anchor: (page_id, page_url, pos, href, text, title, aria_label, absolute)."""
     df = pages.select("page_id", F.col("url").alias("page_url"), "html")
@@ -71,14 +116,17 @@ def links(pages: DataFrame, base: Column | None = None) -> DataFrame:
     return with_absolute(a, "absolute", b, F.col("href"))
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """(page_id, title, h1, body): ``<title>`` string, first ``<h1>`` text, visible body text."""
+def page_text(pages: DataFrame, *extra, has_content: bool = False) -> DataFrame:
+    """(page_id, title, h1, body): ``<title>`` string, first ``<h1>`` text, visible body text.
+
+    ``extra`` columns are added; ``has_content`` drops pages without content."""
+    pages = pages.where(F.length(F.btrim("html")) > 0) if has_content else pages
     h = F.col("html")
     raw_title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
     title = F.when(raw_title.contains("<"), F.lit("")).otherwise(decode_entities(raw_title))
     h1 = tag_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))
     body = F.regexp_replace(h, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>|<!--.*?-->", " ")
-    return pages.select("page_id", title.alias("title"), h1.alias("h1"), tag_text(body).alias("body"))
+    return pages.select("page_id", title.alias("title"), h1.alias("h1"), tag_text(body).alias("body"), *extra)
 
 
 def career_links(pages: DataFrame) -> DataFrame:
@@ -94,11 +142,32 @@ def career_links(pages: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- JSON-LD
 
 
+def ld_scripts(html) -> Column:
+    """Contents of the JSON-LD scripts of a page, as written."""
+    return F.regexp_extract_all(_c(html), F.lit(SCRIPT_LD_RE), 1)
+
+
+def parse_ld(df: DataFrame, scripts) -> DataFrame:
+    """Valid JSON payloads: (page_id, script_pos, raw). Repeated keys are valid; the last value counts."""
+    ex = df.select("page_id", F.posexplode(_c(scripts)).alias("script_pos", "raw"))
+    ex = ex.withColumn("raw", ustrip("raw"))
+    repeated = (F.col("raw").rlike(r"(?s)^\{.*\}\z") & F.from_json("raw", "map<string,string>").isNotNull()) \
+        | (F.col("raw").rlike(r"(?s)^\[.*\]\z") & F.from_json("raw", "array<string>").isNotNull())
+    return ex.where((F.col("raw") != "") & (F.try_parse_json("raw").isNotNull() | repeated))
+
+
 def json_ld(pages: DataFrame) -> DataFrame:
     """JSON-LD payloads per page: (page_id, script_pos, raw); invalid JSON is skipped."""
-    ex = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT_LD_RE), 1)).alias("script_pos", "raw"))
-    ex = ex.withColumn("raw", ustrip("raw"))
-    return ex.where((F.col("raw") != "") & F.try_parse_json("raw").isNotNull())
+    return parse_ld(pages, ld_scripts("html"))
+
+
+# ``from_json`` into string values drops the quotes, so a quoted "{" would pass for an object. A
+# letter put before every string (keys too) keeps strings, objects, arrays and numbers apart.
+_STRING = "s"
+
+
+def _marked(raw) -> Column:
+    return F.regexp_replace(_c(raw), r'"((?:[^"\\]++|\\.)*+)"', f'"{_STRING}$1"')
 
 
 def _kind(j: Column) -> Column:
@@ -106,19 +175,38 @@ def _kind(j: Column) -> Column:
     return F.when(t.startswith("{"), F.lit("o")).when(t.startswith("["), F.lit("a")).otherwise(F.lit("s"))
 
 
+def _entries(j: Column) -> Column:
+    """Key / value pairs of a marked object in document order; of repeated keys the last stays."""
+    obj = F.from_json(j, "map<string,string>")
+    keys, pairs = F.map_keys(obj), F.map_entries(obj)
+    last = F.filter(pairs, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last)
+
+
+def _value(j: Column, key: str) -> Column:
+    """Marked value of ``key`` in a marked object, null where absent."""
+    found = F.filter(_entries(j), lambda e: e["key"] == _STRING + key)
+    return F.get(found, F.lit(0))["value"]
+
+
+def _text(v: Column) -> Column:
+    """A marked value as text: strings without the mark, others as written."""
+    return F.when(v.startswith(_STRING), F.substr(v, F.lit(2))).otherwise(v)
+
+
 def job_postings(payloads: DataFrame, max_depth: int = 200) -> DataFrame:
     """JobPosting objects at any depth in document order, level by level until none is left.
 
     Raises if there are more than ``max_depth`` levels; it never returns short.
 
-    Objects are read with ``from_json`` into ``map<string,string>``, which keeps key order, so
+    Objects are read with ``from_json`` as marked key / value pairs, which keep key order, so
     nested postings come out in document (pre-)order. Returns (page_id, path, title, url)
     where ``path`` sorts in walk order.
     """
     from career_index.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(payloads.sparkSession)
     # Payloads are small strings; cut lineage once so each level re-reads them, not the pages.
-    level = payloads.select("page_id", F.array(F.col("script_pos")).alias("path"), F.col("raw").alias("j")) \
+    level = payloads.select("page_id", F.array(F.col("script_pos")).alias("path"), _marked("raw").alias("j")) \
         .checkpoint(eager=True)
     found = []
     for depth in range(max_depth + 2):
@@ -127,18 +215,22 @@ def job_postings(payloads: DataFrame, max_depth: int = 200) -> DataFrame:
         if depth > max_depth:
             raise ValueError(f"JSON is nested deeper than {max_depth} levels")
         k = _kind(F.col("j"))
-        obj = F.from_json(F.col("j"), "map<string,string>")
-        typ = obj.getItem("@type")
-        typ_list = F.from_json(typ, "array<string>")
-        is_post = (k == "o") & ((typ == "JobPosting")
-                                | (F.ltrim(typ).startswith("[") & F.coalesce(F.array_contains(typ_list, "JobPosting"), F.lit(False))))
-        posts = level.where(is_post).select(
+        # The entries and the type become columns, so that each is read once.
+        parsed = level.select("page_id", "path", k.alias("k"), F.col("j"), F.when(k == "o", _entries(F.col("j"))).alias("e"))
+
+        def field(name):
+            return F.get(F.filter("e", lambda e: e["key"] == _STRING + name), F.lit(0))["value"]
+        typ = field("@type")
+        is_post = (typ == _STRING + "JobPosting") | (typ.startswith("[") & F.coalesce(
+            F.array_contains(F.from_json(typ, "array<string>"), _STRING + "JobPosting"), F.lit(False)))
+        posts = parsed.where(is_post).select(
             "page_id", "path",
-            ustrip(F.coalesce(obj.getItem("title"), F.lit(""))).alias("title"),
-            ustrip(F.coalesce(obj.getItem("url"), F.lit(""))).alias("url"))
+            ustrip(F.coalesce(_text(field("title")), F.lit(""))).alias("title"),
+            ustrip(F.coalesce(_text(field("url")), F.lit(""))).alias("url"))
         found.append(posts.where((F.col("title") != "") & (F.col("url") != "")))
-        kids = F.when(k == "o", F.map_values(obj)).when(k == "a", F.from_json(F.col("j"), "array<string>"))
-        level = level.select("page_id", "path", F.posexplode(kids).alias("p", "j2")).select(
+        kids = F.when(F.col("k") == "o", F.transform("e", lambda e: e["value"])) \
+            .when(F.col("k") == "a", F.from_json(F.col("j"), "array<string>"))
+        level = parsed.select("page_id", "path", F.posexplode(kids).alias("p", "j2")).select(
             "page_id", F.array_append("path", F.col("p")).alias("path"), F.col("j2").alias("j")
         ).where(_kind(F.col("j")) != "s")
     out = found[0]
@@ -149,19 +241,24 @@ def job_postings(payloads: DataFrame, max_depth: int = 200) -> DataFrame:
 
 def json_ld_country(payloads: DataFrame) -> DataFrame:
     """First non-blank ``address.addressCountry`` of a top-level object or list item."""
-    top = payloads.select("page_id", "script_pos", F.lit(0).alias("item"), F.col("raw").alias("j"))
-    items = payloads.where(_kind(F.col("raw")) == "a").select(
-        "page_id", "script_pos", F.posexplode(F.from_json("raw", "array<string>")).alias("item", "j"))
-    cands = top.where(_kind(F.col("j")) == "o").unionByName(items.where(_kind(F.col("j")) == "o"))
-    addr = F.from_json(F.col("j"), "map<string,string>").getItem("address")
-    country = F.from_json(addr, "map<string,string>").getItem("addressCountry")
-    cands = cands.select("page_id", "script_pos", "item",
-                         F.when(_kind(addr) == "o", ustrip(country)).alias("country"))
-    cands = cands.where(F.col("country").isNotNull() & (F.col("country") != "")
-                        & ~F.col("country").rlike(r"^[\[{]"))
+    objs = _top_objects(payloads)
+    addr = _value(F.col("j"), "address")
+    objs = objs.select("page_id", "script_pos", "item", addr.alias("addr")).where(_kind(F.col("addr")) == "o")
+    raw = _value(F.col("addr"), "addressCountry")
+    cands = objs.select("page_id", "script_pos", "item",
+                        F.when(raw.startswith(_STRING), ustrip(_text(raw))).alias("country"))
+    cands = cands.where(F.col("country") != "")
     return cands.groupBy("page_id").agg(F.min_by("country", F.struct("script_pos", "item")).alias("country"))
 
 
+def _top_objects(payloads: DataFrame) -> DataFrame:
+    """Marked objects at the top of a payload or directly in its list: (page_id, script_pos, item, j)."""
+    m = payloads.select("page_id", "script_pos", _marked("raw").alias("j"))
+    one = F.array(F.col("j"))
+    items = F.when(_kind(F.col("j")) == "a", F.from_json("j", "array<string>")).otherwise(one)
+    return m.select("page_id", "script_pos", F.posexplode(items).alias("item", "j")).where(_kind(F.col("j")) == "o")
+
+
 # ---------------------------------------------------------------------------- list tables
 
 
@@ -176,7 +273,7 @@ def list_rows(pages: DataFrame) -> DataFrame:
     """
     from career_index.constants import COUNTRY_HEADER_TOKENS, NAME_HEADER_TOKENS, WEBSITE_HEADER_TOKENS
     tables = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        "html", F.lit(r"(?is)<table\s[^>]*class\s*=\s*[\"'][^\"']*\bwikitable\b[^\"']*[\"'][^>]*>.*?</table>"), 0))
+        shown("html"), F.lit(rf"(?is)<table\s(?:[^>]*\s)?{class_value('wikitable')}[^>]*>.*?</table>"), 0))
         .alias("table_pos", "t"))
     rows = tables.select("page_id", "table_pos", F.posexplode(F.regexp_extract_all(
         "t", F.lit(r"(?is)<tr(?:\s[^>]*)?>.*?</tr>"), 0)).alias("row_pos", "r"))
@@ -237,7 +334,7 @@ def infobox_website(pages: DataFrame) -> DataFrame:
     "website" -> first off-encyclopedia ``http`` link in the row's data cells; else the first
     such link of the official-website / homepage list items. Returns (page_id, website)."""
     boxes = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        "html", F.lit(r"(?is)<table\s[^>]*class\s*=\s*[\"'][^\"']*\binfobox\b[^\"']*[\"'][^>]*>.*?</table>"), 0))
+        shown("html"), F.lit(rf"(?is)<table\s(?:[^>]*\s)?{class_value('infobox')}[^>]*>.*?</table>"), 0))
         .alias("box_pos", "t"))
     rows = boxes.select("page_id", "box_pos", F.posexplode(F.regexp_extract_all(
         "t", F.lit(r"(?is)<tr(?:\s[^>]*)?>.*?</tr>"), 0)).alias("row_pos", "r"))
@@ -276,7 +373,7 @@ def listing_urls(pages: DataFrame, base: str) -> DataFrame:
     """Links inside ``.listing-title`` elements pointing under ``/directory/``, excluding
     category and view URLs; distinct per page in first-seen order: (page_id, pos, url)."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        "html", F.lit(r"(?is)class\s*=\s*[\"'][^\"']*\blisting-title\b[^\"']*[\"'][^>]*>(.*?)</(?:h[1-6]|div|span|p|li)>"), 1))
+        "html", F.lit(rf"(?is)\s{class_value('listing-title')}[^>]*>(.*?)</(?:h[1-6]|div|span|p|li)>"), 1))
         .alias("block_pos", "b"))
     a = blocks.select("page_id", "block_pos", F.posexplode(F.regexp_extract_all("b", F.lit(ANCHOR_RE), 0)).alias("lp", "_a"))
     open_tag, _ = _anchor_parts(F.col("_a"))
@@ -288,14 +385,16 @@ def listing_urls(pages: DataFrame, base: str) -> DataFrame:
 
 
 def _field(html: Column, field: str) -> Column:
-    """Text of the first ``.value`` (else ``.wpbdp-field-value``) element inside ``.wpbdp-field-<field>``."""
+    """Text of the first ``.value`` (else ``.wpbdp-field-value``) element inside ``.wpbdp-field-<field>``.
+
+    The field ends where the next field starts (its label and value are parts of it)."""
+    block = F.regexp_extract(html, rf"(?is)\s{class_value('wpbdp-field-' + field)}(.*?)"
+                                   r"(?=\sclass\s*=\s*[\"'](?:[^\"']*\s)?wpbdp-field-(?!value[\s\"']|label[\s\"'])|\z)", 1)
+
     def grab(cls):
-        return F.regexp_extract(html, rf"(?is)class\s*=\s*[\"'][^\"']*\bwpbdp-field-{field}\b[^\"']*[\"'].*?"
-                                      rf"class\s*=\s*[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</", 1)
-    first = grab("value")
-    has_first = html.rlike(rf"(?is)class\s*=\s*[\"'][^\"']*\bwpbdp-field-{field}\b[^\"']*[\"'].*?"
-                           rf"class\s*=\s*[\"'](?:[^\"']*\s)?value(?:\s[^\"']*)?[\"']")
-    return tag_text(F.when(has_first, first).otherwise(grab("wpbdp-field-value")))
+        return F.regexp_extract(block, rf"(?is)\s{class_value(cls)}[^>]*>(.*?)</", 1)
+    has_first = block.rlike(rf"(?is)\s{class_value('value')}")
+    return tag_text(F.when(has_first, grab("value")).otherwise(grab("wpbdp-field-value")))
 
 
 def listing_records(pages: DataFrame, source: str = "eu_startups") -> DataFrame:
@@ -320,12 +419,8 @@ def listing_records(pages: DataFrame, source: str = "eu_startups") -> DataFrame:
 def profile_urls(pages: DataFrame, host_token: str, marker: str) -> DataFrame:
     """X11: profile URLs of a list page: JSON-LD top-level ``url`` values first, then anchors;
     kept when F15 holds; distinct per page in (stage, pos) order: (page_id, stage, pos, url)."""
-    ld = json_ld(pages)
-    top = ld.select("page_id", "script_pos", F.lit(0).alias("item"), F.col("raw").alias("j"))
-    items = ld.where(_kind(F.col("raw")) == "a").select(
-        "page_id", "script_pos", F.posexplode(F.from_json("raw", "array<string>")).alias("item", "j"))
-    objs = top.where(_kind(F.col("j")) == "o").unionByName(items.where(_kind(F.col("j")) == "o"))
-    u = ustrip(F.coalesce(F.from_json(F.col("j"), "map<string,string>").getItem("url"), F.lit("")))
+    objs = _top_objects(json_ld(pages))
+    u = ustrip(F.coalesce(_text(_value(F.col("j"), "url")), F.lit("")))
     s0 = objs.select("page_id", F.lit(0).alias("stage"), F.struct("script_pos", "item").alias("p"), u.alias("raw_url"))
     s0 = s0.where(P.is_profile_url(F.col("raw_url"), host_token, marker)).withColumn("url", normalize_url("raw_url"))
     ln = links(pages)

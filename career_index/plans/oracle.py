@@ -123,7 +123,7 @@ def canonical_origin(x: str) -> str:
 
 def decode(x: str) -> str:
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
+                    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         x = f"replace({x}, '{ent}', '{ch}')"
     return x
 
@@ -202,3 +202,57 @@ def page_text_sql() -> str:
     return (f"SELECT page_id, CASE WHEN contains({raw_title}, '<') THEN '' ELSE {decode(raw_title)} END AS title, "
             f"{tag_text(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>' + chr(39) + ', 1)')} AS h1, "
             f"{tag_text(body)} AS body FROM pages")
+
+
+# ------------------------------------------------------- extraction results, from the base tables alone
+
+
+def sup_nation() -> str:
+    return "(SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def list_rows_sql(filled: bool = False) -> str:
+    """List rows; ``filled``: with the websites of the article pages."""
+    none = ("CASE WHEN s_suppkey % 8 = 0 THEN 'https://s' || s_suppkey || '.example.org' "
+            "ELSE 'https://s' || s_suppkey || '.example.net' END") if filled else "''"
+    return (
+        "SELECT 1000000000 + n_regionkey * 1000000 + chunk AS page_id, 0 AS table_pos, "
+        "CASE WHEN chunk % 2 = 0 THEN 2 ELSE 1 END + place - 1 AS row_pos, s_name AS name, "
+        f"CASE s_suppkey % 4 WHEN 0 THEN {none} WHEN 1 THEN 'https://s' || s_suppkey || '.example.com' "
+        "WHEN 2 THEN 'http://s' || s_suppkey || '.example.com/home' ELSE 'https://s' || s_suppkey % 50 || '.example.com' END "
+        "AS website, n_name AS country, 'https://en.wikipedia.org/wiki/Supplier_' || s_suppkey AS company_wiki_url FROM ("
+        "SELECT *, s_suppkey // 25 AS chunk, row_number() OVER (PARTITION BY n_regionkey, s_suppkey // 25 ORDER BY s_suppkey) "
+        f"AS place FROM {sup_nation()}) WHERE s_suppkey % 13 <> 0")
+
+
+INFOBOX_SQL = ("SELECT 3000000000 + s_suppkey AS page_id, 'https://s' || s_suppkey || "
+               "CASE WHEN s_suppkey % 8 = 0 THEN '.example.org' ELSE '.example.net' END AS website FROM supplier")
+
+LISTING_SQL = (
+    "SELECT 4200000000 + c_custkey AS page_id, CASE WHEN c_custkey % 11 = 0 THEN 'Biz ' ELSE 'Customer ' END || c_custkey AS name, "
+    "'https://c' || c_custkey || '.example.com' AS website, n_name AS country_of_origin, 'eu_startups' AS source, "
+    "'https://www.startups.example.eu/directory/listing/c' || c_custkey AS source_url "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0")
+
+CATEGORY_SQL = ("SELECT 4000000000 AS page_id, 'https://www.startups.example.eu/directory/wpbdp_category/n' || n_nationkey "
+                "AS url, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation")
+
+PROFILE_SQL = (
+    "SELECT 6900000000 + s_suppkey AS page_id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'https://social.example.com/s' "
+    "|| s_suppkey ELSE 'https://s' || s_suppkey || '.example.com' END AS website, n_name AS country_of_origin, "
+    "'themanifest' AS source, 'https://themanifest.com/company/s' || s_suppkey AS source_url FROM " + sup_nation())
+
+_CAREER_PAGES = ("(SELECT c_custkey AS k, c_nationkey, c_custkey * 100 + 5 AS page_id FROM customer UNION ALL "
+                 "SELECT c_custkey, c_nationkey, c_custkey * 100 + 6 FROM customer WHERE c_custkey % 2 = 0)")
+
+LD_COUNTRY_SQL = f"SELECT page_id, n_name AS country FROM {_CAREER_PAGES} JOIN nation ON c_nationkey = n_nationkey"
+
+POSTINGS_SQL = (
+    f"SELECT page_id, '0.1.0' AS path, 'Engineer ' || k AS title, 'https://c' || k || '.example.com/jobs/e' AS url FROM {_CAREER_PAGES} "
+    f"UNION ALL SELECT page_id, '0.1.1', 'Analyst', 'https://boards.greenhouse.io/c' || k || '/2' FROM {_CAREER_PAGES} "
+    f"UNION ALL SELECT page_id, '0.1.1.3', 'Nested', 'https://c' || k || '.example.com/jobs/n' FROM {_CAREER_PAGES}")
+
+ALLOWED_SQL = (
+    "SELECT page_id, url FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, "
+    "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) WHERE NOT starts_with(path, "
+    "CASE WHEN starts_with(host, 'blog.') THEN '/en/' ELSE '/fr/' END)")

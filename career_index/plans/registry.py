@@ -4,6 +4,7 @@ them) in full. Array columns are exported as ``jobs_text`` strings so both engin
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,9 @@ from career_index.operators import resolve as R
 from career_index.plans import api
 from career_index.plans import oracle as O
 from career_index.sources.fixtures import candidates_with_ord, raw_candidates, served_companies
+from career_index.session import ensure_checkpoint_dir
 from career_index.sources.tables import table
+from career_index.storage import stored
 from career_index.constants import EUROPE_COUNTRIES
 from career_index.functions.scoring import right_wins
 from career_index.functions.urls import apply_url as api_apply_url
@@ -409,9 +412,7 @@ from career_index.sources import snapshot as SNAP  # noqa: E402
 
 
 def _ckpt(df):
-    from career_index.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "crawl")
 
 
 register("s5_fetch", (
@@ -443,26 +444,26 @@ def _robots(spark, d):
     return star.unionByName(own).select("domain", "agent", "r.ord", "r.allow", "r.prefix")
 
 
-register("s6_allow_urls")(
+register("s6_allow_urls", O.ALLOWED_SQL)(
     lambda spark, d: EN.allow_urls(table(spark, d, "pages").select("page_id", "url"), _robots(spark, d),
                                    "CareerIndex/1.0").select("page_id", "url"))
 
-register("x4_list_rows")(lambda spark, d: X.list_rows(S.list_pages(spark, d, "wikipedia")))
-register("x7_infobox_website")(lambda spark, d: X.infobox_website(S.detail_pages(spark, d)))
-register("x8_category_urls")(lambda spark, d: X.category_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT))
+register("x4_list_rows", O.list_rows_sql())(lambda spark, d: X.list_rows(S.list_pages(spark, d, "wikipedia")))
+register("x7_infobox_website", O.INFOBOX_SQL)(lambda spark, d: X.infobox_website(S.detail_pages(spark, d)))
+register("x8_category_urls", O.CATEGORY_SQL)(lambda spark, d: X.category_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT))
 register("x9_listing_urls")(lambda spark, d: X.listing_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT)
                             .select("page_id", "url", F.col("pos.block_pos").alias("block_pos")))
-register("x10_listing_records")(lambda spark, d: X.listing_records(
+register("x10_listing_records", O.LISTING_SQL)(lambda spark, d: X.listing_records(
     S.directory_pages(spark, d).where(F.col("url").contains("/listing/"))))
 register("x11_profile_urls")(lambda spark, d: X.profile_urls(
     S.profile_pages(spark, d, "clutch").where(F.col("url").contains("/list/")), "clutch.co", "profile")
     .select("page_id", "stage", "url"))
-register("x12_profile_records")(lambda spark, d: X.profile_records(
+register("x12_profile_records", O.PROFILE_SQL)(lambda spark, d: X.profile_records(
     S.profile_pages(spark, d, "themanifest").where(F.col("url").contains("/company/")), "themanifest"))
 register("x13_json_ld")(lambda spark, d: X.json_ld(S.company_sites(spark, d)).select(
     "page_id", "script_pos", F.length("raw").alias("raw_len")))
-register("x14_json_ld_country")(lambda spark, d: X.json_ld_country(X.json_ld(S.company_sites(spark, d))))
-register("x15_job_postings")(lambda spark, d: X.job_postings(X.json_ld(_ckpt(S.company_sites(spark, d)))).select(
+register("x14_json_ld_country", O.LD_COUNTRY_SQL)(lambda spark, d: X.json_ld_country(X.json_ld(S.company_sites(spark, d))))
+register("x15_job_postings", O.POSTINGS_SQL)(lambda spark, d: X.job_postings(X.json_ld(_ckpt(S.company_sites(spark, d)))).select(
     "page_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "title", "url"))
 
 register("w3_career_pages")(lambda spark, d: EN.career_pages(
@@ -478,7 +479,7 @@ register("w4_company_jobs")(lambda spark, d: EN.company_jobs(
     EN.page_features(_ckpt(S.company_sites(spark, d)))).select("career_page_url", "company_domain",
                                                                 jobs_text().alias("jobs_text")))
 
-register("j2_fill_websites")(lambda spark, d: DIR.fill_websites(
+register("j2_fill_websites", O.list_rows_sql(filled=True))(lambda spark, d: DIR.fill_websites(
     X.list_rows(S.list_pages(spark, d, "wikipedia")), _ckpt(S.detail_pages(spark, d))))
 register("j4_crawl_directory")(lambda spark, d: DIR.crawl_directory(_ckpt(S.directory_pages(spark, d)), S.DIRECTORY_ROOT))
 register("j5_crawl_profiles")(lambda spark, d: DIR.crawl_profiles(
@@ -500,8 +501,7 @@ register("q4_source_health")(lambda spark, d: H.health(
 
 
 def _snapshot_roundtrip(spark, d):
-    from career_index.session import ensure_checkpoint_dir
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/snapshots/companies_" + str(abs(hash(d)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/companies-{uuid.uuid4().hex}"
     SNAP.write_companies(served(spark, d), path)
     return company_out(SNAP.read_served_companies(spark, path))
 

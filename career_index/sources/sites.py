@@ -14,8 +14,8 @@ from career_index.sources.tables import table
 
 # ------------------------------------------------------------------ company sites
 
-# One row per company domain id ``did`` (five per block of ten customers).
-DID_SQL = "CAST(floor(c_custkey / 10) AS BIGINT) * 10 + c_custkey % 10"
+# One site per customer; its domain id ``did`` is the customer's key.
+DID_SQL = "CAST(c_custkey AS BIGINT)"
 HOME_SQL = (
     "concat('<html><head><title>C', CAST(did AS STRING), ' home</title></head><body><nav>', "
     "'<a href=\"/about\">About us</a>', "
@@ -30,7 +30,7 @@ HOME_SQL = (
 
 
 def _did_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cust = table(spark, sf_dir, "customer").where("c_custkey % 10 < 5")
+    cust = table(spark, sf_dir, "customer")
     return cust.selectExpr(f"{DID_SQL} AS did", "c_nationkey")
 
 
@@ -49,13 +49,9 @@ def company_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     team = d.where("did % 7 IN (1, 2)").selectExpr(
         "did * 100 + 4 AS page_id", "concat('https://c', CAST(did AS STRING), '.example.com/team') AS url",
         "'<html><head><title>Team</title></head><body><p>We have   OPEN positions in Lisbon.</p></body></html>' AS html")
-    # Career page: JSON-LD postings, then job anchors built from ``part`` slots.
-    slots = table(spark, sf_dir, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("s"))
-    anchors = d.join(F.broadcast(slots), F.expr("s <= 10 + 10 * (did % 4)")).selectExpr("did", "s", f"{JOB_ANCHOR_SQL} AS a")
-    agg = anchors.groupBy("did").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "a"))),
-                                                              lambda x: x["a"]), "").alias("anchors"))
-    car = d.join(agg, "did", "left").selectExpr(
-        "did", "n_name", "coalesce(anchors, '') AS anchors")
+    # Career page: JSON-LD postings, then 10 to 40 job anchors.
+    car = d.selectExpr("did", "n_name", "array_join(transform(sequence(1, CAST(10 + 10 * (did % 4) AS INT)), "
+                       f"s -> {JOB_ANCHOR_SQL}), '') AS anchors")
     careers = car.selectExpr("did * 100 + 5 AS page_id",
                              "concat('https://c', CAST(did AS STRING), '.example.com', "
                              "CASE WHEN did % 7 = 0 THEN '/en/jobs' WHEN did % 7 = 1 THEN '/team-jobs' ELSE '/careers' END) AS url",
@@ -121,9 +117,8 @@ def list_pages(spark: SparkSession, sf_dir: str, kind: str = "wikipedia") -> Dat
 
 
 def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Article pages for suppliers without a website in the list: infobox (key % 8 = 0) or
-    an official-website list item (key % 8 = 4)."""
-    sup = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0")
+    """One article page per supplier: a website in the infobox (key % 8 = 0), else an official-website list item."""
+    sup = table(spark, sf_dir, "supplier")
     return sup.selectExpr(
         "3000000000 + s_suppkey AS page_id",
         "concat('https://en.wikipedia.org/wiki/Supplier_', CAST(s_suppkey AS STRING)) AS url",
