@@ -19,6 +19,7 @@ from career_index.constants import ENCYCLOPEDIA_BASE, ENCYCLOPEDIA_HOST
 from career_index.functions import predicates as P
 from career_index.functions.text import _c, clean_cell, collapse_ws, ustrip
 from career_index.functions.urls import canonical_origin, netloc, normalize_url, resolve_url, with_absolute
+from career_index.storage import stored
 
 # The rest of an opening tag; a quoted value may hold ">".
 TAG_REST = r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+"
@@ -185,8 +186,8 @@ def _entries(j: Column) -> Column:
 
 def _value(j: Column, key: str) -> Column:
     """Marked value of ``key`` in a marked object, null where absent."""
-    found = F.filter(_entries(j), lambda e: e["key"] == _STRING + key)
-    return F.get(found, F.lit(0))["value"]
+    found = F.filter(F.map_entries(F.from_json(j, "map<string,string>")), lambda e: e["key"] == _STRING + key)
+    return F.try_element_at(found, F.lit(-1))["value"]
 
 
 def _text(v: Column) -> Column:
@@ -422,8 +423,10 @@ def profile_urls(pages: DataFrame, host_token: str, marker: str) -> DataFrame:
     objs = _top_objects(json_ld(pages))
     u = ustrip(F.coalesce(_text(_value(F.col("j"), "url")), F.lit("")))
     s0 = objs.select("page_id", F.lit(0).alias("stage"), F.struct("script_pos", "item").alias("p"), u.alias("raw_url"))
+    # Narrow rows, written once: the tests below would each repeat the parsing otherwise.
+    s0 = stored(s0, "profile-payloads")
     s0 = s0.where(P.is_profile_url(F.col("raw_url"), host_token, marker)).withColumn("url", normalize_url("raw_url"))
-    ln = links(pages)
+    ln = stored(links(pages).select("page_id", "pos", "absolute"), "profile-links")
     s1 = ln.select("page_id", F.lit(1).alias("stage"), F.struct(F.col("pos").alias("script_pos"), F.lit(0).alias("item")).alias("p"),
                    F.col("absolute").alias("url"))
     s1 = s1.where(P.is_profile_url(F.col("url"), host_token, marker))
