@@ -135,7 +135,7 @@ DIRECTORY_ROOT = "https://www.startups.example.eu/directory/"
 
 
 def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root page (category per nation), category pages (chunks of 100 customers), listing pages."""
+    """Root page (category per nation), category pages (each lists all its customers), listing pages."""
     nat = table(spark, sf_dir, "nation")
     cust = table(spark, sf_dir, "customer")
     cat_links = nat.selectExpr("n_nationkey", f"concat('<a href=\"/directory/wpbdp_category/n', CAST(n_nationkey AS STRING), '/\">', n_name, '</a>') AS a")
@@ -143,18 +143,16 @@ def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   lambda x: x["a"]), "").alias("links")).selectExpr(
         "4000000000 AS page_id", f"'{DIRECTORY_ROOT}' AS url",
         "concat('<html><body><div class=\"cats\">', links, '<a href=\"/directory/wpbdp_category/n0/\">again</a></div></body></html>') AS html")
-    items = cust.selectExpr("c_nationkey", "CAST(floor(c_custkey / 100) AS BIGINT) AS chunk", "c_custkey",
+    items = cust.selectExpr("c_nationkey", "c_custkey",
                             "concat('<h2 class=\"listing-title\"><a href=\"/directory/listing/c', CAST(c_custkey AS STRING), "
                             "'/\">Customer ', CAST(c_custkey AS STRING), '</a></h2>', "
                             "CASE WHEN c_custkey % 9 = 0 THEN '<h2 class=\"listing-title\"><a href=\"/directory/?wpbdp_view=all\">all</a></h2>' ELSE '' END) AS a")
-    cats = items.groupBy("c_nationkey", "chunk").agg(
+    # The root links one page per category, and no page links on, as the crawl follows no numbered pages.
+    cats = items.groupBy("c_nationkey").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "a"))), lambda x: x["a"]), "").alias("links"))
-    # The first chunk of a nation is its category page; later chunks are its numbered pages.
-    first = cats.groupBy("c_nationkey").agg(F.min("chunk").alias("first_chunk"))
-    cats = cats.join(first, "c_nationkey").selectExpr(
-        "4100000000 + c_nationkey * 1000000 + chunk AS page_id",
-        f"concat('{DIRECTORY_ROOT}wpbdp_category/n', CAST(c_nationkey AS STRING), "
-        "CASE WHEN chunk = first_chunk THEN '' ELSE concat('/page/', CAST(chunk AS STRING)) END) AS url",
+    cats = cats.selectExpr(
+        "4100000000 + c_nationkey * 1000000 AS page_id",
+        f"concat('{DIRECTORY_ROOT}wpbdp_category/n', CAST(c_nationkey AS STRING)) AS url",
         "concat('<html><body>', links, '</body></html>') AS html")
     listing = cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey).selectExpr(  # 25-row table
         "4200000000 + c_custkey AS page_id",
