@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from career_index.llm import bpe, chat, exact, html_extract, lines, packing, quality, simhash, substring, suffix
+from career_index.llm import audit, bpe, chat, exact, html_extract, langid, lines, packing, quality, simhash, spelling, substring, suffix
 from career_index.sources.tables import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,8 +66,20 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100).drop("kept")
 
 
+def op11_language_id(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark, sf_dir):
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variant_grouping(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_best_fit_packing, op3_byte_bpe, op4_html_extraction, op5_quality_rules, op6_simhash_near_dedup,
-                                    op7_exact_dedup, op8_substring_dedup, op9_line_dedup, op10_suffix_array_dedup)}
+                                    op7_exact_dedup, op8_substring_dedup, op9_line_dedup, op10_suffix_array_dedup, op11_language_id, op12_filter_interaction_audit, op13_spelling_variant_grouping)}
 
 ORACLE = {
     "op1_chat_formatting": r"""
@@ -103,4 +115,32 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d""",
+    "op12_filter_interaction_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             map {'A': len(w) < 50, 'B': 100 * len(list_distinct(w)) < 65 * len(w),
+                  'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+                  'D': regexp_matches(t, '[#$%&*|]'), 'E': coalesce(w.doc_id > first, false)} AS fails
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE a.x <> b.x AND c.x NOT IN (a.x, b.x) AND d.x NOT IN (a.x, b.x, c.x) AND e.x NOT IN (a.x, b.x, c.x, d.x)),
+s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[:step - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+g AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS now,
+             len(list_filter(string_split(before, ''), lambda q: q <> '' AND fails[q])) > 0 AS gone,
+             len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda q: fails[q])) AS k FROM c, s),
+r AS (SELECT part, filter_order, step, own,
+             CAST(sum(CASE WHEN NOT gone AND NOT now THEN n ELSE 0 END) AS BIGINT) AS kept,
+             CAST(sum(CASE WHEN NOT gone AND now THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN gone AND now THEN n ELSE 0 END) AS BIGINT) AS redundant,
+             CAST(sum(CASE WHEN now AND k = 1 THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN NOT gone AND now THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+             CAST(sum(CASE WHEN NOT gone AND now THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM g GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r""",
 }
