@@ -52,11 +52,10 @@ def has_career_phrase(body) -> Column:
     return F.coalesce(collapse_ws(F.lower(_c(body))).rlike(CAREER_PHRASE_RE), F.lit(False))
 
 
-def is_career_page(url, title, body) -> Column:
-    """keyword in the page title, or keyword in the URL, or a hiring phrase in the body."""
+def is_career_page(url, title, phrase) -> Column:
+    """keyword in the page title, or keyword in the URL, or a hiring phrase in the body (``phrase``: see ``has_career_phrase``)."""
     t = F.lower(ustrip(F.coalesce(_c(title), F.lit(""))))
-    return (has_career_keyword(t) | has_career_keyword(F.lower(_c(url)))
-            | has_career_phrase(body))
+    return has_career_keyword(t) | has_career_keyword(F.lower(_c(url))) | _c(phrase)
 
 
 def is_job_link(title, url) -> Column:

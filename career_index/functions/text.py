@@ -7,6 +7,8 @@ for the two letters where it differs from ``lower`` in practice (sharp s and fin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,14 +20,29 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The ASCII part of the same set, for the paths without a Unicode pattern.
+_ASCII_WS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ustrip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), rf"(?U)^{_WS}+|{_WS}+\z", "")
+    """``str.strip()``: remove leading and trailing Unicode whitespace.
+
+    Trimming ASCII whitespace is enough if an ASCII character is at either end then; only other texts meet the pattern."""
+    def trimmed(x: Column) -> Column:
+        plain = lambda b: F.when((F.ascii(b) < 128) & (F.ascii(F.right(b, F.lit(1))) < 128), b)
+        return let(F.btrim(x, F.lit(_ASCII_WS)), lambda b: plain(b).otherwise(F.regexp_replace(x, rf"(?U)^{_WS}+|{_WS}+\z", "")))
+    return let(_c(c), trimmed)
 
 
 def collapse_ws(c) -> Column:
-    """``re.sub(r"\\s+", " ", s)`` with Unicode whitespace."""
-    return F.regexp_replace(_c(c), rf"(?U){_WS}+", " ")
+    """``re.sub(r"\\s+", " ", s)`` with Unicode whitespace; ASCII texts take a cheaper pattern."""
+    return let(_c(c), lambda x: F.when(F.length(x) == F.octet_length(x), F.regexp_replace(x, rf"{_WS}+", " "))
+               .otherwise(F.regexp_replace(x, rf"(?U){_WS}+", " ")))
 
 
 def name_key(c) -> Column:

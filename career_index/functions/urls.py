@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from career_index.constants import ENCYCLOPEDIA_WIKI, ORIGIN_MAX_LEN, URL_MAX_LEN
-from career_index.functions.text import _c, ustrip
+from career_index.functions.text import _c, let, ustrip
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 NETLOC_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -54,8 +54,7 @@ def normalize_url(c) -> Column:
     s = F.regexp_replace(ustrip(_c(c)), r"[\t\r\n]", "")
     s = F.regexp_replace(s, r"#[\s\S]*\z", "")
     s = F.regexp_replace(s, r"^([^?]*)\?\z", "$1")
-    s = _lower_scheme(s)
-    return F.regexp_replace(s, r"/\z", "")
+    return let(let(s, _lower_scheme), lambda x: F.when(x.endswith("/"), F.left(x, F.length(x) - 1)).otherwise(x))
 
 
 def ensure_scheme(c) -> Column:
@@ -68,11 +67,16 @@ def final_url(c) -> Column:
     """Final-record URL. Strip; add https:// when missing; host must contain a dot;
     at most 220 characters (measured before slash removal); drop one trailing ``/``. Else ``""``.
     The fragment is kept."""
-    s = ustrip(_c(c))
-    u = ensure_scheme(s)
-    host = netloc(u)
-    ok = (s != "") & host.contains(".") & (F.length(u) <= URL_MAX_LEN)
-    return F.when(ok, F.regexp_replace(u, r"/\z", "")).otherwise(F.lit(""))
+    return let(ustrip(_c(c)), final_url_of_stripped)
+
+
+def final_url_of_stripped(s: Column) -> Column:
+    """P2 of a text without whitespace at its ends. With a scheme in front the host is what stands before the first ``/``, ``?`` or ``#`` behind ``://``."""
+    def judged(u: Column) -> Column:
+        host = F.substring_index(F.translate(F.substr(u, F.instr(u, "//") + F.lit(2)), "?#", "//"), "/", 1)
+        ok = (s != "") & host.contains(".") & (F.length(u) <= URL_MAX_LEN)
+        return F.when(ok, F.when(u.endswith("/"), F.left(u, F.length(u) - 1)).otherwise(u)).otherwise(F.lit(""))
+    return let(ensure_scheme(s), judged)
 
 
 def domain_key(c) -> Column:

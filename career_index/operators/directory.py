@@ -1,7 +1,8 @@
 """Candidate extraction from directory and list sites (X4-X12 compositions, J2, J4, J5, W2, F3, Q8).
 
-``seeds``: (source, list_rank, url). Every crawl step is a fetch (equi-join on the normalised
-URL) followed by page-local extraction. All linked categories, listings and profiles are read;
+``seeds``: (source, list_rank, url). Every crawl step joins its requests with the page index on the normalised
+URL, extracts from the requested pages where they are read, and joins the narrow results back on ``page_id``; page bodies never move.
+A ``policy`` is applied to the requests of every step. All linked categories, listings and profiles are read;
 ``max_...`` arguments limit them on request.
 """
 
@@ -16,17 +17,16 @@ from career_index.functions.text import name_key, ustrip
 from career_index.functions.urls import normalize_url
 from career_index.operators import extract as X
 from career_index.operators.dedupe import first_wins, greedy_dedupe
-from career_index.operators.enrich import page_index
+from career_index.operators.enrich import CrawlPolicy, page_index, pages_where_read, requests
 from career_index.operators.ranking import with_rank
 from career_index.storage import stored
 
 CANDIDATE_COLS = ("source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source", "source_url")
 
 
-def _fetch_pages(urls: DataFrame, pages: DataFrame, index: DataFrame, url_col: str = "url") -> DataFrame:
-    """Rows of ``urls`` joined with the full page (page_id, html) for their normalised URL."""
-    hit = stored(urls.join(index, normalize_url(url_col) == index["key"]).drop("key"), "requests")
-    return stored(hit.join(pages.select("page_id", "html"), "page_id"), "fetched")
+def _hits(urls: DataFrame, index: DataFrame, policy: CrawlPolicy | None, url_col: str = "url") -> DataFrame:
+    """The requests of one crawl step that are allowed and known, written once: narrow rows with a ``page_id``."""
+    return stored(requests(urls, index, policy, url_col), "requests")
 
 
 def _index(pages: DataFrame, index: DataFrame | None) -> DataFrame:
@@ -39,11 +39,11 @@ def _first_k(df: DataFrame, order, k: int | None, rank_col: str) -> DataFrame:
     return ranked if k is None else ranked.where(F.col(rank_col) <= k)
 
 
-def fill_websites(rows: DataFrame, pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def fill_websites(rows: DataFrame, pages: DataFrame, index: DataFrame | None = None, policy: CrawlPolicy | None = None) -> DataFrame:
     """Rows without a website take the article page's website (X7); kept when no page."""
     need = rows.where((F.col("website") == "") & (F.col("company_wiki_url") != "")).select("company_wiki_url").distinct()
-    art = _fetch_pages(need, pages, _index(pages, index), "company_wiki_url")
-    found = X.infobox_website(art.select("page_id", "html")).join(art.select("page_id", "company_wiki_url"), "page_id")
+    hits = _hits(need, _index(pages, index), policy, "company_wiki_url")
+    found = X.infobox_website(pages_where_read(hits, pages).select("page_id", "html")).join(hits, "page_id")
     found = found.groupBy("company_wiki_url").agg(F.min("website").alias("_filled"))
     out = rows.join(found, "company_wiki_url", "left")
     return out.withColumn("website", F.when((F.col("website") == "") & F.col("_filled").isNotNull(), F.col("_filled"))
@@ -51,13 +51,13 @@ def fill_websites(rows: DataFrame, pages: DataFrame, index: DataFrame | None = N
 
 
 def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bool = False,
-                index: DataFrame | None = None) -> DataFrame:
+                index: DataFrame | None = None, policy: CrawlPolicy | None = None) -> DataFrame:
     """List-table source: rows of the seed list pages -> J2 -> W2 (-> F3 for the global list)."""
     s = seeds.where(F.col("source") == source).select("list_rank", F.col("url").alias("source_url"))
     index = _index(pages, index)
-    lp = _fetch_pages(s, pages, index, "source_url")
-    rows = X.list_rows(lp.select("page_id", "html")).join(lp.select("page_id", "list_rank", "source_url"), "page_id")
-    rows = fill_websites(rows, pages, index)
+    hits = _hits(s, index, policy, "source_url")
+    rows = stored(X.list_rows(pages_where_read(hits, pages).select("page_id", "html")).join(hits, "page_id"), "list-rows")
+    rows = fill_websites(rows, pages, index, policy)
     # Places keep their order as ranks: no width is assumed for tables or rows.
     rows = with_rank(rows, "list_rank", "table_pos", "row_pos", rank_col="seq")
     kept = greedy_dedupe(rows, name_key("name"), F.col("website"), ["seq"])
@@ -69,18 +69,21 @@ def list_source(pages: DataFrame, seeds: DataFrame, source: str, europe_only: bo
 
 def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
                     max_categories: int | None = None, max_listings: int | None = None,
-                    index: DataFrame | None = None) -> DataFrame:
+                    index: DataFrame | None = None, policy: CrawlPolicy | None = None) -> DataFrame:
     """Root -> first categories (in link order) -> first distinct listings -> records -> W1."""
     index = _index(pages, index)
-    r = _fetch_pages(pages.sparkSession.createDataFrame([(root,)], "url string"), pages, index)
-    cats = X.category_urls(r.select("page_id", "html"), root)
+
+    def page_bodies(hits):
+        return pages_where_read(hits, pages).select("page_id", "url", "html")
+    r = _hits(pages.sparkSession.createDataFrame([(root,)], "url string"), index, policy)
+    cats = X.category_urls(page_bodies(r), root).join(r.select("page_id"), "page_id", "left_semi")
     cats = _first_k(cats, F.col("pos"), max_categories, "cat_rank")
-    cp = _fetch_pages(cats.select("cat_rank", "url"), pages, index)
-    lst = X.listing_urls(cp.select("page_id", "html"), root).join(cp.select("page_id", "cat_rank"), "page_id")
+    c = _hits(cats.select("cat_rank", "url"), index, policy)
+    lst = X.listing_urls(page_bodies(c), root).join(c.select("page_id", "cat_rank"), "page_id")
     first = lst.groupBy("url").agg(F.min(F.struct("cat_rank", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_listings, "n")
-    lp = _fetch_pages(first.select("n", "url"), pages, index)
-    recs = X.listing_records(lp.select("page_id", "url", "html"), source).join(lp.select("page_id", "n"), "page_id")
+    li = _hits(first.select("n", "url"), index, policy)
+    recs = X.listing_records(page_bodies(li), source).join(li.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
     return first_wins(recs, keys, ["seq"]).select("seq", "name", "website", F.lit("").alias("career_page_url"),
@@ -88,30 +91,33 @@ def crawl_directory(pages: DataFrame, root: str, source: str = "eu_startups",
 
 
 def crawl_profiles(pages: DataFrame, seeds: DataFrame, source: str, host_token: str, marker: str,
-                   max_profiles: int | None = None, index: DataFrame | None = None) -> DataFrame:
+                   max_profiles: int | None = None, index: DataFrame | None = None, policy: CrawlPolicy | None = None) -> DataFrame:
     """List pages (challenge pages skipped) -> distinct profile URLs in (list, stage, pos)
     order -> profile pages (challenge pages skipped) -> records (X12) -> W1."""
     s = seeds.where(F.col("source") == source).select("list_rank", "url")
     index = _index(pages, index)
-    lp = _fetch_pages(s, pages, index).where(~P.is_challenge("html"))
-    pu = X.profile_urls(lp.select("page_id", "url", "html"), host_token, marker).join(lp.select("page_id", "list_rank"), "page_id")
+
+    def page_bodies(hits):
+        return pages_where_read(hits, pages).select("page_id", "url", "html").where(~P.is_challenge("html"))
+    li = _hits(s, index, policy)
+    pu = X.profile_urls(page_bodies(li), host_token, marker).join(li.select("page_id", "list_rank"), "page_id")
     first = pu.groupBy("url").agg(F.min(F.struct("list_rank", "stage", "pos")).alias("o"))
     first = _first_k(first, F.col("o"), max_profiles, "n")
-    pp = _fetch_pages(first.select("n", "url"), pages, index).where(~P.is_challenge("html"))
-    recs = X.profile_records(pp.select("page_id", "url", "html"), source).join(pp.select("page_id", "n"), "page_id")
+    pr = _hits(first.select("n", "url"), index, policy)
+    recs = X.profile_records(page_bodies(pr), source).join(pr.select("page_id", "n"), "page_id")
     recs = recs.withColumn("seq", F.col("n").cast("long"))
     keys = [F.lower(ustrip("name")), F.lower(ustrip("website"))]
     return first_wins(recs, keys, ["seq"]).select("seq", "name", "website", F.lit("").alias("career_page_url"),
                                                   "country_of_origin", "source", "source_url")
 
 
-def build_directory(pages: DataFrame, seeds: DataFrame, directory_root: str) -> dict[str, DataFrame]:
+def build_directory(pages: DataFrame, seeds: DataFrame, directory_root: str, policy: CrawlPolicy | None = None) -> dict[str, DataFrame]:
     """Q8: candidates per source, in source order. One page index serves every fetch of the build."""
-    index = _index(pages, None)
+    both = {"index": _index(pages, None), "policy": policy}
     return {
-        "wikipedia": list_source(pages, seeds, "wikipedia", index=index),
-        "wikipedia_global": list_source(pages, seeds, "wikipedia_global", europe_only=True, index=index),
-        "eu_startups": crawl_directory(pages, directory_root, index=index),
-        "clutch": crawl_profiles(pages, seeds, "clutch", "clutch.co", "profile", index=index),
-        "themanifest": crawl_profiles(pages, seeds, "themanifest", "themanifest.com", "company", index=index),
+        "wikipedia": list_source(pages, seeds, "wikipedia", **both),
+        "wikipedia_global": list_source(pages, seeds, "wikipedia_global", europe_only=True, **both),
+        "eu_startups": crawl_directory(pages, directory_root, **both),
+        "clutch": crawl_profiles(pages, seeds, "clutch", "clutch.co", "profile", **both),
+        "themanifest": crawl_profiles(pages, seeds, "themanifest", "themanifest.com", "company", **both),
     }

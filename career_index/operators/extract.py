@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from career_index.constants import ENCYCLOPEDIA_BASE, ENCYCLOPEDIA_HOST
 from career_index.functions import predicates as P
-from career_index.functions.text import _c, clean_cell, collapse_ws, ustrip
+from career_index.functions.text import _c, clean_cell, collapse_ws, let, ustrip
 from career_index.functions.urls import canonical_origin, netloc, normalize_url, resolve_url, with_absolute
 from career_index.storage import stored
 
@@ -28,7 +28,9 @@ TAG_STEP = r"(?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[^>=\s]++|\s)"
 ANCHOR_RE = rf"(?is)<a\s{TAG_REST}>.*?</a>"
 ENTITY_RE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
 HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-SCRIPT_LD_RE = r"(?is)<script[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
+# A JSON-LD script's content is group 1; comments and other scripts are stepped over.
+SCRIPT_LD_RE = (r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
+                r"|<script\b.*?</script>|<!--.*?-->")
 
 
 def class_value(token: str) -> str:
@@ -44,20 +46,22 @@ def _code_point(code: Column) -> Column:
 
 def decode_entities(c) -> Column:
     """Character references replaced once: numeric ones, and the named ones of HTML 4 and ``&apos;``."""
-    x = _c(c)
     named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})), "map<string,string>")
 
-    # Staged, so that no expression is written out twice in the next one.
-    parts = F.transform(F.split(x, "&"), lambda t, i: F.struct(
-        t.alias("t"), F.when(i > 0, F.regexp_extract(t, ENTITY_RE, 1)).alias("ref")))
-    coded = F.transform(parts, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
-        p["ref"].startswith("#"), F.when(F.substring(p["ref"], 2, 1).isin("x", "X"), F.conv(F.substring(p["ref"], 3, 9), 16, 10))
-        .otherwise(F.substring(p["ref"], 2, 9))).try_cast("bigint").alias("code")))
-    chars = F.transform(coded, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
-        p["code"].isNotNull(), _code_point(p["code"])).when(p["ref"] != "", F.element_at(named, p["ref"])).alias("char")))
-    return F.array_join(F.transform(chars, lambda p: F.when(p["ref"].isNull(), p["t"]).when(
-        p["char"].isNull(), F.concat(F.lit("&"), p["t"])).otherwise(
-        F.concat(p["char"], F.substr(p["t"], F.length(p["ref"]) + F.lit(2))))), "")
+    def decoded(x: Column) -> Column:
+        # Staged, so that no expression is written out twice in the next one.
+        parts = F.transform(F.split(x, "&"), lambda t, i: F.struct(
+            t.alias("t"), F.when(i > 0, F.regexp_extract(t, ENTITY_RE, 1)).alias("ref")))
+        coded = F.transform(parts, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
+            p["ref"].startswith("#"), F.when(F.substring(p["ref"], 2, 1).isin("x", "X"), F.conv(F.substring(p["ref"], 3, 9), 16, 10))
+            .otherwise(F.substring(p["ref"], 2, 9))).try_cast("bigint").alias("code")))
+        chars = F.transform(coded, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
+            p["code"].isNotNull(), _code_point(p["code"])).when(p["ref"] != "", F.element_at(named, p["ref"])).alias("char")))
+        return F.array_join(F.transform(chars, lambda p: F.when(p["ref"].isNull(), p["t"]).when(
+            p["char"].isNull(), F.concat(F.lit("&"), p["t"])).otherwise(
+            F.concat(p["char"], F.substr(p["t"], F.length(p["ref"]) + F.lit(2))))), "")
+
+    return let(_c(c), lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
 
 
 def tag_text(inner) -> Column:
@@ -122,11 +126,11 @@ def page_text(pages: DataFrame, *extra, has_content: bool = False) -> DataFrame:
 
     ``extra`` columns are added; ``has_content`` drops pages without content."""
     pages = pages.where(F.length(F.btrim("html")) > 0) if has_content else pages
-    h = F.col("html")
+    h = shown("html")
     raw_title = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
     title = F.when(raw_title.contains("<"), F.lit("")).otherwise(decode_entities(raw_title))
     h1 = tag_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))
-    body = F.regexp_replace(h, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>|<!--.*?-->", " ")
+    body = F.regexp_replace(h, r"(?is)<template\b.*?</template>", " ")
     return pages.select("page_id", title.alias("title"), h1.alias("h1"), tag_text(body).alias("body"), *extra)
 
 
@@ -145,7 +149,7 @@ def career_links(pages: DataFrame) -> DataFrame:
 
 def ld_scripts(html) -> Column:
     """Contents of the JSON-LD scripts of a page, as written."""
-    return F.regexp_extract_all(_c(html), F.lit(SCRIPT_LD_RE), 1)
+    return F.filter(F.regexp_extract_all(_c(html), F.lit(SCRIPT_LD_RE), 1), lambda x: x != "")
 
 
 def parse_ld(df: DataFrame, scripts) -> DataFrame:
@@ -345,7 +349,7 @@ def infobox_website(pages: DataFrame) -> DataFrame:
     lk = rows.select("page_id", "box_pos", "row_pos", F.lit(0).alias("stage"),
                      F.posexplode(F.regexp_extract_all(tds, F.lit(ANCHOR_RE), 0)).alias("link_pos", "_a"))
     li = pages.select("page_id", F.lit(0).alias("box_pos"), F.lit(0).alias("row_pos"), F.lit(1).alias("stage"),
-                      F.posexplode(F.regexp_extract_all("html", F.lit(
+                      F.posexplode(F.regexp_extract_all(shown("html"), F.lit(
                           r"(?is)<li\s[^>]*id\s*=\s*[\"']t-(?:officialwebsite|homepage)[\"'][^>]*>.*?</li>"), 0)).alias("li_pos", "li"))
     li = li.select("page_id", "box_pos", "row_pos", "stage", "li_pos",
                    F.posexplode(F.regexp_extract_all("li", F.lit(ANCHOR_RE), 0)).alias("lp", "_a"))
@@ -374,7 +378,7 @@ def listing_urls(pages: DataFrame, base: str) -> DataFrame:
     """Links inside ``.listing-title`` elements pointing under ``/directory/``, excluding
     category and view URLs; distinct per page in first-seen order: (page_id, pos, url)."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        "html", F.lit(rf"(?is)\s{class_value('listing-title')}[^>]*>(.*?)</(?:h[1-6]|div|span|p|li)>"), 1))
+        shown("html"), F.lit(rf"(?is)\s{class_value('listing-title')}[^>]*>(.*?)</(?:h[1-6]|div|span|p|li)>"), 1))
         .alias("block_pos", "b"))
     a = blocks.select("page_id", "block_pos", F.posexplode(F.regexp_extract_all("b", F.lit(ANCHOR_RE), 0)).alias("lp", "_a"))
     open_tag, _ = _anchor_parts(F.col("_a"))
@@ -401,7 +405,7 @@ def _field(html: Column, field: str) -> Column:
 def listing_records(pages: DataFrame, source: str = "eu_startups") -> DataFrame:
     """One record per listing page: name from ``h1`` (business-name field when the h1
     looks like a URL), website via P5 from the website field, country from the category field."""
-    h = F.col("html")
+    h = shown("html")
     h1 = tag_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))
     has_h1 = h.rlike(r"(?is)<h1(?:\s[^>]*)?>")
     business = _field(h, "business_name")
@@ -440,7 +444,7 @@ def profile_records(pages: DataFrame, source: str, exclude_hosts=("clutch.co", "
     else the first outbound ``http`` link; country from JSON-LD (X14) or ``Unknown``."""
     from career_index.constants import WEBSITE_LINK_LABELS
     pt = pages.select("page_id", F.col("url").alias("source_url"),
-                      tag_text(F.regexp_extract("html", r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1)).alias("name"))
+                      tag_text(F.regexp_extract(shown("html"), r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1)).alias("name"))
     a = anchors(pages.select("page_id", "html"), "html", ["page_id"])
     host = F.lower(netloc("href"))
     outbound = F.col("href").startswith("http")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from career_index.constants import COUNTRY_ISO, PAGE_SIZE, UNTITLED_ROLE
 from career_index.functions.text import contains_folded, fold, ustrip
 from career_index.operators.ranking import with_rank
-from career_index.storage import stored
+from career_index.operators.selection import Key, rows_of_ranks, sort_columns
 
 COMPANY_SORTS = {"company": "name", "country": "country_of_origin", "source": "source", "jobs_count": None}
 JOB_SORTS = {"company": "company_name", "country": "country_of_origin", "source": "source", "title": "title"}
@@ -139,7 +139,7 @@ def sort_jobs(rows: DataFrame, by: str = "company", order: str = "asc", rank: bo
     return with_rank(rows, *cols) if rank else rows.orderBy(*cols)
 
 
-def display_order(by: str = "company", order: str = "asc") -> list[Column]:
+def display_keys(by: str = "company", order: str = "asc") -> list[Key]:
     """Locale-aware sort, then the whole list reversed for desc (ties reverse too)."""
     _check(by, COMPANY_SORTS, "sort_by")
     _check(order, ("asc", "desc"), "sort_order")
@@ -147,8 +147,11 @@ def display_order(by: str = "company", order: str = "asc") -> list[Column]:
         key = jobs_count()
     else:
         key = F.collate(F.col(COMPANY_SORTS[by]), "UNICODE")
-    cols = [key, F.lower("name"), F.col("ord")]
-    return [c.desc() for c in cols] if order == "desc" else [c.asc() for c in cols]
+    return [(c, order == "desc") for c in (key, F.lower("name"), F.col("ord"))]
+
+
+def display_order(by: str = "company", order: str = "asc") -> list[Column]:
+    return sort_columns(display_keys(by, order))
 
 
 def sort_display(df: DataFrame, by: str = "company", order: str = "asc", rank: bool = True) -> DataFrame:
@@ -201,14 +204,12 @@ def facet_values(df: DataFrame, column: str, find: str | None = None, rank: bool
     return with_rank(vals, *cols) if rank else vals.orderBy(*cols)
 
 
-def page(df: DataFrame, order: list[Column], page_number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+def page(df: DataFrame, keys: list[Key], page_number: int = 1, size: int = PAGE_SIZE, **bounds) -> DataFrame:
     """One page of ``size`` rows; the page is clamped to [1, max(1, ceil(n / size))].
 
-    The rows are ranked in parallel once; their number and the page both come from the ranked table, and
-    a page is a filter on the rank, so the last page costs as much as the first.
+    ``df`` is read a few times, so it should be a stored table or cheap to derive. Only the rows around the page are sorted, and none are written.
     """
-    ranked = stored(with_rank(df, *order), "pages")
-    n = ranked.count()
+    n = df.count()
     p = min(max(1, int(page_number)), max(1, math.ceil(n / size)))
     start = (p - 1) * size
-    return ranked.where(F.col("rank").between(start + 1, start + size)).withColumn("page", F.lit(p))
+    return rows_of_ranks(df, keys, start + 1, min(start + size, n), n, **bounds).withColumn("page", F.lit(p))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from career_index.constants import PAGE_SIZE
 from career_index.functions.urls import apply_url
 from career_index.operators import query as q
+from career_index.operators.ranking import with_rank
+from career_index.operators.selection import sort_columns
 
 
 def companies(df: DataFrame, country=None, source=None, company=None, jobs_query=None, has_jobs=None,
@@ -42,14 +44,13 @@ def feed(df: DataFrame, countries=(), sources=(), companies=(), job_boxes=("with
          size: int = PAGE_SIZE) -> DataFrame:
     """Q5: facets (F7) and text (F8) -> display sort (O4) -> job cards (N2) with flag code
     and apply link (P14) -> one page (O5). ``page_number=None`` returns all cards, ranked."""
-    order = q.display_order(sort_by, sort_order)
+    keys = [*q.display_keys(sort_by, sort_order), (F.col("pos"), False)]
     vis = q.filter_text(q.filter_facets(df, countries, sources, companies, job_boxes), text)
     cards = q.job_cards(vis)
     cards = q.with_country_iso(cards).withColumn("apply_url", apply_url("url", "career_page_url"))
-    card_order = [*order, F.col("pos").asc()]
-    if page_number is None:
-        from career_index.operators.ranking import with_rank
-        return with_rank(cards.withColumnRenamed("company_name", "name"), *card_order).withColumnRenamed(
-            "name", "company_name")
     named = cards.withColumnRenamed("company_name", "name")
-    return q.page(named, card_order, page_number, size).withColumnRenamed("name", "company_name")
+    if page_number is None:
+        out = with_rank(named, *sort_columns(keys))
+    else:
+        out = q.page(named, keys, page_number, size)
+    return out.withColumnRenamed("name", "company_name")

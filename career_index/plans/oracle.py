@@ -197,11 +197,11 @@ def links_sql() -> str:
 
 def page_text_sql() -> str:
     raw_title = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
-    body = ("regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<template\\b.*?</template>|<!--.*?-->', "
-            "' ', 'g')")
+    body = "regexp_replace(html, '(?is)<template\\b.*?</template>', ' ', 'g')"
     return (f"SELECT page_id, CASE WHEN contains({raw_title}, '<') THEN '' ELSE {decode(raw_title)} END AS title, "
             f"{tag_text(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1>' + chr(39) + ', 1)')} AS h1, "
-            f"{tag_text(body)} AS body FROM pages")
+            f"{tag_text(body)} AS body FROM (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', "
+            "' ', 'g') AS html FROM pages)")
 
 
 # ------------------------------------------------------- extraction results, from the base tables alone
@@ -234,8 +234,16 @@ LISTING_SQL = (
     "'https://www.startups.example.eu/directory/listing/c' || c_custkey AS source_url "
     "FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0")
 
-CATEGORY_SQL = ("SELECT 4000000000 AS page_id, 'https://www.startups.example.eu/directory/wpbdp_category/n' || n_nationkey "
-                "AS url, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos FROM nation")
+_CATEGORY = "'https://www.startups.example.eu/directory/wpbdp_category/n' || c_nationkey || '/p' || c_custkey // 500"
+CATEGORY_SQL = (f"SELECT 4000000000 AS page_id, {_CATEGORY} AS url, row_number() OVER (ORDER BY c_nationkey, c_custkey // 500) - 1 AS pos "
+                "FROM (SELECT DISTINCT c_nationkey, c_custkey // 500 * 500 AS c_custkey FROM customer)")
+
+LISTING_URLS_SQL = (
+    "SELECT 4100000000 + c_nationkey * 1000000 + c_custkey // 500 AS page_id, "
+    "'https://www.startups.example.eu/directory/listing/c' || c_custkey AS url, CAST(row_number() OVER w - 1 + "
+    "coalesce(sum(CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey, c_custkey // 500 ORDER BY c_custkey "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block_pos FROM customer "
+    "WINDOW w AS (PARTITION BY c_nationkey, c_custkey // 500 ORDER BY c_custkey)")
 
 PROFILE_SQL = (
     "SELECT 6900000000 + s_suppkey AS page_id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'https://social.example.com/s' "
@@ -256,3 +264,158 @@ ALLOWED_SQL = (
     "SELECT page_id, url FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, "
     "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages) WHERE NOT starts_with(path, "
     "CASE WHEN starts_with(host, 'blog.') THEN '/en/' ELSE '/fr/' END)")
+
+
+# ------------------------------------------------------- crawls and the index build, from the base tables alone
+
+PROFILE_URLS_SQL = (
+    "WITH l AS (SELECT n_regionkey, s_suppkey // 20 AS chunk, s_suppkey, 5000000000 + n_regionkey * 1000000 + s_suppkey // 20 AS page_id "
+    f"FROM {sup_nation()}) SELECT DISTINCT page_id, 0 AS stage, 'https://clutch.co/profile/featured-company' AS url FROM l "
+    "UNION ALL SELECT page_id, 1, 'https://clutch.co/profile/s' || s_suppkey FROM l")
+
+JSON_LD_SQL = (
+    "SELECT page_id, 0 AS script_pos, length('{\"@context\": \"https://schema.org\", \"@graph\": [{\"@type\": \"JobPosting\", "
+    "\"title\": \" Engineer ' || k || '\", \"url\": \"https://c' || k || '.example.com/jobs/e#x\"}, {\"@type\": [\"Thing\", \"JobPosting\"], "
+    "\"title\": \"Analyst\", \"url\": \"https://boards.greenhouse.io/c' || k || '/2/\", \"hiringOrganization\": {\"@type\": \"JobPosting\", "
+    "\"title\": \"Nested\", \"url\": \"https://c' || k || '.example.com/jobs/n\"}}, {\"@type\": \"JobPosting\", \"title\": \"\", "
+    f"\"url\": \"https://c' || k || '.example.com/jobs/blank\"}}]}}') AS raw_len FROM {_CAREER_PAGES} "
+    "UNION ALL SELECT page_id, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END, "
+    "length('{\"@type\": \"Organization\", \"address\": {\"addressCountry\": \" ' || n_name || '\"}}') "
+    f"FROM {_CAREER_PAGES} JOIN nation ON c_nationkey = n_nationkey")
+
+#: Links of company sites that mention a career keyword: (page_id, pos, absolute), first places of equal ones.
+CAREER_LINKS_SQL = (
+    "WITH h AS (SELECT c_custkey AS k, p, c_custkey * 100 + p AS page_id, "
+    "'https://' || CASE WHEN p = 2 THEN 'www.' ELSE '' END || 'c' || c_custkey || '.example.com' AS site "
+    "FROM customer, (SELECT unnest([1, 2]) AS p)), "
+    "j AS (SELECT k, page_id, 'https://c' || k || '.example.com' AS site, unnest(range(1, 11 + 10 * (k % 4))) AS s "
+    f"FROM {_CAREER_PAGES}), "
+    "a AS (SELECT page_id, 1 AS pos, site || '/team' AS absolute FROM h WHERE k % 7 = 1 "
+    "UNION ALL SELECT page_id, CASE WHEN k % 7 = 2 THEN 2 ELSE 1 END, site || '/careers' FROM h WHERE k % 7 > 1 "
+    "UNION ALL SELECT page_id, CASE k % 7 WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 2 END, 'https://www.linkedin.com/company/c' || k FROM h "
+    "UNION ALL SELECT page_id, CASE k % 7 WHEN 0 THEN 2 WHEN 2 THEN 4 ELSE 3 END, 'https://c' || k || '.example.com/jobs' FROM h WHERE k % 2 = 0 "
+    "UNION ALL SELECT page_id, s - 1, CASE s % 6 WHEN 0 THEN site || '/privacy' WHEN 1 THEN 'https://jobs.lever.co/c' || k || '/' || s "
+    "WHEN 2 THEN site || '/jobs/' || s WHEN 3 THEN 'https://other' || k || '.example.org/jobs/' || s ELSE site || '/jobs/' || (s - 2) END "
+    "FROM j WHERE s % 6 <> 5) SELECT page_id, min(pos) AS pos, absolute FROM a GROUP BY page_id, absolute")
+
+
+def career_path(k: str) -> str:
+    """Where the career page of company ``k`` is found from its homepage."""
+    return f"CASE WHEN {k} % 7 = 1 THEN '/team' WHEN {k} % 7 <> 0 THEN '/careers' WHEN {k} % 2 = 0 THEN '/jobs' ELSE '/en/jobs' END"
+
+
+def page_jobs(k: str, own: str) -> str:
+    """Jobs of a full career page of company ``k`` as text; ``own``: its relative links count as the company's."""
+    site = f"'https://c' || {k} || '.example.com"
+    return (f"array_to_string(['Engineer ' || {k} || ' | ' || {site}/jobs/e', 'Analyst | https://boards.greenhouse.io/c' || {k} || '/2', "
+            f"'Nested | ' || {site}/jobs/n'] || list_transform(list_filter(range(1, 11 + 10 * ({k} % 4)), lambda s: s % 6 = 1 OR (s % 6 = 2 AND {own})), "
+            f"lambda s: CASE WHEN s % 6 = 1 THEN 'Apply: Role ' || s || ' | https://jobs.lever.co/c' || {k} || '/' || s "
+            f"ELSE 'Open position ' || s || ' | ' || {site}/jobs/' || s END), ' ; ')")
+
+
+_DID = "c_custkey // 10 * 10 + (c_custkey * 3) % 5"
+CAREER_PAGES_SQL = (
+    f"SELECT DISTINCT 'https://c' || d || '.example.com' AS home, 'https://c' || d || '.example.com' || {career_path('d')} AS career_page_url "
+    f"FROM (SELECT {_DID} AS d FROM customer WHERE c_custkey % 8 = 1) WHERE d IN (SELECT c_custkey FROM customer)")
+
+COMPANY_JOBS_SQL = (
+    "SELECT DISTINCT 'https://c' || d || '.example.com/careers' AS career_page_url, CASE WHEN www THEN 'www.' ELSE '' END || 'c' || d || '.example.com' "
+    f"AS company_domain, {page_jobs('d', 'NOT www')} AS jobs_text FROM (SELECT {_DID} AS d, c_custkey % 8 = 0 AS www FROM customer "
+    "WHERE c_custkey % 8 NOT IN (3, 4)) WHERE d % 7 > 1 AND d IN (SELECT c_custkey FROM customer)")
+
+
+def enriched_sql() -> str:
+    """Q6: the first candidate of each name and website whose homepage is in the snapshot."""
+    jobs = f"CASE WHEN d % 7 = 1 THEN '' ELSE {page_jobs('d', 'true')} END"
+    return (
+        f"SELECT CAST(source_rank AS BIGINT) * {ORD_SOURCE_STRIDE} + seq AS ord, name, website, 'https://c' || d || '.example.com' || {career_path('d')} "
+        f"AS career_page_url, country_of_origin, source, {jobs} AS jobs_text FROM (SELECT *, seq // 10 * 10 + (seq * 3) % 5 AS d, "
+        f"row_number() OVER (PARTITION BY lower({strip('name')}), lower({strip('website')}) ORDER BY source_rank, seq) AS rn FROM {raw_candidates()}) "
+        "WHERE rn = 1 AND seq % 8 = 1 AND d IN (SELECT c_custkey FROM customer)")
+
+
+def resolved_sql() -> str:
+    """Q7: the sequential rule as a recursion over the records in order, with two maps of keys and one of places."""
+    score = ("(7 + (lower(country_of_origin) <> 'unknown')::INT + (lower(source) <> 'unknown')::INT + (len(jobs) > 0)::INT)")
+    found = "CASE WHEN r.dk <> '' AND map_contains(st.doms, r.dk) THEN st.doms[r.dk] WHEN map_contains(st.names, r.nk) THEN st.names[r.nk] END"
+    wins = ("(t.i IS NULL OR r.score > t.score OR (t.unk AND NOT r.unk) OR r.clen < t.clen)")
+    return (
+        f"WITH RECURSIVE {final_records_cte()}, r AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY ord) AS INT) AS i, ord, "
+        f"{domain_key('website')} AS dk, {name_key('name')} AS nk, {score} AS score, lower(country_of_origin) = 'unknown' AS unk, "
+        "length(career_page_url) AS clen FROM fr), "
+        "st AS (SELECT 0 AS i, MAP {}::MAP(VARCHAR, INT) AS doms, MAP {}::MAP(VARCHAR, INT) AS names, MAP {}::MAP(INT, INT) AS places UNION ALL "
+        f"SELECT r.i, CASE WHEN {wins} AND r.dk <> '' THEN map_concat(st.doms, MAP {{r.dk: r.i}}) ELSE st.doms END, "
+        f"CASE WHEN {wins} THEN map_concat(st.names, MAP {{r.nk: r.i}}) ELSE st.names END, "
+        f"CASE WHEN t.i IS NULL THEN map_concat(st.places, MAP {{r.i: r.i}}) WHEN {wins} AND map_contains(st.places, t.i) THEN "
+        "map_concat(map_from_entries(list_filter(map_entries(st.places), lambda e: e.key <> t.i)), MAP {r.i: st.places[t.i]}) ELSE st.places END "
+        f"FROM st JOIN r ON r.i = st.i + 1 LEFT JOIN r t ON t.i = ({found})), "
+        "pl AS (SELECT unnest(map_entries(places)) AS e FROM st WHERE i = (SELECT max(i) FROM r)), "
+        "w AS (SELECT o.ord AS slot, h.ord AS rec FROM pl JOIN r h ON h.i = e.key JOIN r o ON o.i = e.value) "
+        "SELECT slot AS ord, name, website, career_page_url, country_of_origin, source, "
+        f"{jobs_text('jobs')} AS jobs_text, row_number() OVER (ORDER BY lower(name), slot) AS rank FROM w JOIN fr ON fr.ord = w.rec")
+
+
+def _lists(rank: int, source: str, prefix: str, countries) -> str:
+    """List rows of a source: of each website the first row; the global list keeps European ones."""
+    web = list_rows_sql(filled=True)
+    keep = f"WHERE rn = 1 {'AND lower(country) IN (' + ', '.join(repr(c) for c in countries) + ')' if countries else ''}"
+    return (
+        f"SELECT {rank} AS source_rank, seq, name, website, country, '{source}' AS source, "
+        f"'https://en.wikipedia.org/wiki/{prefix}_R' || (page_id - 1000000000) // 1000000 || '_' || page_id % 1000000 AS source_url FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY website ORDER BY seq) AS rn FROM ("
+        f"SELECT *, row_number() OVER (ORDER BY page_id, row_pos) AS seq FROM ({web}))) {keep}")
+
+
+def _profiles(rank: int, source: str, host: str, marker: str) -> str:
+    """Profiles of one directory: those linked from list pages that are no challenge, but for profiles that are one."""
+    return (
+        f"SELECT {rank} AS source_rank, seq, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'https://social.example.com/s' || s_suppkey "
+        f"ELSE 'https://s' || s_suppkey || '.example.com' END AS website, n_name AS country, '{source}' AS source, "
+        f"'{host}/{marker}/s' || s_suppkey AS source_url FROM (SELECT *, 1 + row_number() OVER (ORDER BY n_regionkey, s_suppkey // 20, s_suppkey) AS seq "
+        f"FROM {sup_nation()} WHERE (s_suppkey // 20) % 7 <> 3) WHERE s_suppkey % 17 <> 0")
+
+
+LISTINGS_SQL = (
+    "SELECT 2 AS source_rank, seq, CASE WHEN c_custkey % 11 = 0 THEN 'Biz ' ELSE 'Customer ' END || c_custkey AS name, "
+    "'https://c' || c_custkey || '.example.com' AS website, n_name AS country, 'eu_startups' AS source, "
+    "'https://www.startups.example.eu/directory/listing/c' || c_custkey AS source_url, c_custkey FROM ("
+    "SELECT *, row_number() OVER (ORDER BY c_nationkey, c_custkey // 500, c_custkey) AS seq FROM customer) "
+    "JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0")
+PROFILES_SQL = _profiles(3, "clutch", "https://clutch.co", "profile")
+_OUT = "seq, name, website, '' AS career_page_url, country AS country_of_origin, source, source_url"
+CRAWLED_LISTINGS_SQL = f"SELECT {_OUT} FROM ({LISTINGS_SQL})"
+CRAWLED_PROFILES_SQL = f"SELECT {_OUT} FROM ({PROFILES_SQL})"
+
+
+def directory_sql(europe) -> str:
+    """Q8: candidates of all sources."""
+    parts = [_lists(0, "wikipedia", "List_of_largest_companies", None), _lists(1, "wikipedia_global", "List_of_largest_companies_global", europe),
+             f"SELECT * EXCLUDE (c_custkey) FROM ({LISTINGS_SQL})", PROFILES_SQL, _profiles(4, "themanifest", "https://themanifest.com", "company")]
+    return f"SELECT source_rank, {_OUT} FROM (" + " UNION ALL ".join(f"({p})" for p in parts) + ")"
+
+
+#: Q9: only the listed customers have sites in the snapshot; their names and hosts are their own, so none are merged.
+INDEX_SQL = (
+    f"SELECT 2 * {ORD_SOURCE_STRIDE} + seq AS ord, name, website, website || {career_path('c_custkey')} AS career_page_url, country AS country_of_origin, "
+    f"source, CASE WHEN c_custkey % 7 = 1 THEN '' ELSE {page_jobs('c_custkey', 'true')} END AS jobs_text, "
+    f"row_number() OVER (ORDER BY lower(name), seq) AS rank FROM ({LISTINGS_SQL})")
+
+
+def _health_row(raw: str, deduped: str, enriched: str, merged: str) -> str:
+    sources = ("wikipedia", "wikipedia_global", "eu_startups", "clutch", "themanifest")
+    counts = ", ".join(f"count(*) FILTER (source = '{s}') AS {s}" for s in sources)
+    by = (f"(SELECT '{{' || string_agg('\"' || source || '\":' || n, ',' ORDER BY source) || '}}' FROM (SELECT source, count(*) AS n FROM {merged} GROUP BY source))")
+    return (f"SELECT {counts}, count(*) AS total_raw, (SELECT count(*) FROM {deduped}) AS total_deduped, "
+            f"(SELECT count(*) FROM {enriched}) AS enriched_with_careers, (SELECT count(*) FROM {merged}) AS final_merged, {by} AS final_by_source FROM {raw}")
+
+
+def source_health_sql(europe) -> str:
+    """Q4 over the stages of Q9."""
+    return (f"WITH raw AS ({directory_sql(europe)}), dd AS (SELECT DISTINCT lower({strip('name')}) AS n, lower({strip('website')}) AS w FROM raw), "
+            f"ix AS ({INDEX_SQL}) " + _health_row("raw", "dd", "ix", "ix"))
+
+
+def candidate_health_sql() -> str:
+    """A2 / S4 over the candidate fixture: candidates, first ones, final records, served companies."""
+    return (f"WITH {served_cte()}, dd AS (SELECT DISTINCT lower({strip('name')}) AS n, lower({strip('website')}) AS w FROM rc) "
+            + _health_row("rc", "dd", "fr", "served"))

@@ -26,7 +26,7 @@ from career_index.sources.fixtures import candidates_with_ord, raw_candidates, s
 from career_index.session import ensure_checkpoint_dir
 from career_index.sources.tables import table
 from career_index.storage import stored
-from career_index.constants import EUROPE_COUNTRIES
+from career_index.constants import ATS_DOMAINS, CAREER_KEYWORDS, EUROPE_COUNTRIES, JOB_LINK_BLOCKED, JOB_LINK_TOKENS
 from career_index.functions.scoring import right_wins
 from career_index.functions.urls import apply_url as api_apply_url
 from career_index.functions.text import contains_folded as api_contains_folded
@@ -122,6 +122,59 @@ register("w5_clean_jobs", f"WITH {O.final_records_cte()} SELECT seq, {O.jobs_tex
     lambda spark, d: final_records(candidates_with_ord(spark, d), keep=("seq",)).select(
         "seq", jobs_text(D.clean_jobs("jobs")).alias("jobs_text")))
 
+# One link per supplier: its text, its URL and the site it was found on.
+_LINK_COLUMNS = (
+    ("host", "concat(CASE WHEN s_suppkey % 5 = 0 THEN 'www.' ELSE '' END, 's', CAST(s_suppkey % 50 AS STRING), '.example.com')"),
+    ("title", "CASE s_suppkey % 7 WHEN 0 THEN 'Open position' WHEN 1 THEN 'Privacy of applicants' WHEN 2 THEN 'News' WHEN 3 THEN 'JOBS and careers' "
+              "WHEN 4 THEN 'Talent pool' WHEN 5 THEN ' Apply now ' ELSE '' END"),
+    ("url", "concat('https://', CASE s_suppkey % 6 WHEN 0 THEN concat('s', CAST(s_suppkey % 50 AS STRING), '.example.com') WHEN 1 THEN concat('WWW.s', "
+            "CAST(s_suppkey % 50 AS STRING), '.example.com:80') WHEN 2 THEN concat('jobs.s', CAST(s_suppkey % 50 AS STRING), '.example.com') "
+            "WHEN 3 THEN 'boards.greenhouse.io' WHEN 4 THEN 'clutch.co' ELSE 'other.example.org' END, CASE s_suppkey % 8 WHEN 0 THEN '/jobs/1' "
+            "WHEN 1 THEN '/profile/acme' WHEN 2 THEN '/x/acme-company/' WHEN 3 THEN '' WHEN 4 THEN '/cookie-jobs' WHEN 5 THEN '/company/profile' "
+            "WHEN 6 THEN '/vacancies?x=1' ELSE '/about' END)"),
+    ("phrase", "s_suppkey % 11 = 0"),
+    ("html", "concat(CASE WHEN s_suppkey % 2 = 0 THEN '<p>Just A Moment</p>' ELSE '<p>A moment</p>' END, CASE WHEN s_suppkey % 3 = 0 THEN '<i id=CF-challenge>' ELSE '' END)"),
+)
+
+
+def _links(spark, d):
+    return table(spark, d, "supplier").selectExpr("s_suppkey", *[f"{e} AS {a}" for a, e in _LINK_COLUMNS])
+
+
+_LINKS_SQL = "(SELECT s_suppkey, " + ", ".join(f"{e} AS {a}" for a, e in _LINK_COLUMNS) + " FROM supplier)"
+_KEYWORDS_SQL = "[" + ", ".join(f"'{w}'" for w in CAREER_KEYWORDS) + "]"
+
+
+def _any_sql(text: str, words: str) -> str:
+    return f"len(list_filter({words}, lambda w: contains({text}, w))) > 0"
+
+
+def _list_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_HOST_SQL = f"lower({O.netloc('url')})"
+register("f9_career_keyword", f"SELECT s_suppkey, {_any_sql('lower(title)', _KEYWORDS_SQL)} AS hit FROM {_LINKS_SQL}")(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.has_career_keyword(F.lower("title")).alias("hit")))
+register("f10_career_page", (
+    f"SELECT s_suppkey, {_any_sql('lower(title)', _KEYWORDS_SQL)} OR {_any_sql('lower(url)', _KEYWORDS_SQL)} OR phrase AS hit FROM {_LINKS_SQL}"))(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_career_page("url", "title", "phrase").alias("hit")))
+_BLOB_SQL = "lower(title || ' ' || url)"
+register("f11_job_link", (
+    f"SELECT s_suppkey, NOT {_any_sql(_BLOB_SQL, _list_sql(JOB_LINK_BLOCKED))} AND {_any_sql(_BLOB_SQL, _list_sql(JOB_LINK_TOKENS))} AS hit FROM {_LINKS_SQL}"))(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_job_link("title", "url").alias("hit")))
+register("f12_job_domain", (
+    f"SELECT s_suppkey, {_HOST_SQL} = host OR ends_with({_HOST_SQL}, '.' || host) OR {_any_sql(_HOST_SQL, _list_sql(ATS_DOMAINS))} AS hit FROM {_LINKS_SQL}"))(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_job_domain("host", F.col("url")).alias("hit")))
+register("f13_related_domain", f"SELECT s_suppkey, {_HOST_SQL} = host OR ends_with({_HOST_SQL}, '.' || host) AS hit FROM {_LINKS_SQL}")(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_related_domain("host", F.col("url")).alias("hit")))
+register("f14_challenge", f"SELECT s_suppkey, contains(lower(html), 'just a moment') AND contains(lower(html), 'cf-challenge') AS hit FROM {_LINKS_SQL}")(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_challenge("html").alias("hit")))
+register("f15_profile_url", (
+    f"SELECT s_suppkey, contains({_HOST_SQL}, 'clutch.co') AND (regexp_matches(url, '^https://[^/]*/profile/') OR regexp_matches(url, '-company/?$')) "
+    f"AS hit FROM {_LINKS_SQL}"))(
+    lambda spark, d: _links(spark, d).select("s_suppkey", P.is_profile_url(F.col("url"), "clutch.co", "profile").alias("hit")))
+
 # ---------------------------------------------------------------- served-table queries
 
 
@@ -260,7 +313,7 @@ def _feed_sql(page_no: int) -> str:
 
 def _feed(page_no):
     def run(spark, d):
-        return api.feed(served(spark, d), sources=["wikipedia", "eu_startups", "themanifest"], job_boxes=["with_jobs"],
+        return api.feed(stored(served(spark, d), "served"), sources=["wikipedia", "eu_startups", "themanifest"], job_boxes=["with_jobs"],
                         text=" 1", sort_by="country", sort_order="desc", page_number=page_no)
     return run
 
@@ -340,8 +393,8 @@ register("u1_union_sources",
     }).select("source_rank", "seq", "source", "name"))
 
 register("u2_union_lists", O.with_served(
-    "SELECT ord, name FROM served UNION ALL SELECT 100000000000000000 + ord AS ord, name FROM fr"))(
-    lambda spark, d: D.union_lists(served(spark, d), final_records(candidates_with_ord(spark, d))).select("ord", "name"))
+    "SELECT 0 AS list_rank, ord, name FROM served UNION ALL SELECT 1, ord, name FROM fr"))(
+    lambda spark, d: D.union_lists(served(spark, d), final_records(candidates_with_ord(spark, d))).select("list_rank", "ord", "name"))
 
 
 def _w2_sql() -> str:
@@ -382,25 +435,18 @@ register("w8_resolve_domain_only", _w8_domain_sql())(
     .select("ord", "source_rank", "seq", "name", "website", "career_page_url", "country_of_origin", "source",
             jobs_text().alias("jobs_text")))
 
-# Two-key resolution: order-dependent fold with stale pointers; checked in pytest against a
-# sequential model (rows-only here).
-register("q7_resolve")(
+register("q7_resolve", O.resolved_sql())(
     lambda spark, d: company_out(with_rank(R.resolve_fold(final_records(candidates_with_ord(spark, d))),
                                            *Q.base_order()), "rank"))
 
 # ---------------------------------------------------------------- extraction over the page table
 from career_index.operators import extract as X  # noqa: E402
-from career_index.constants import CAREER_KEYWORDS  # noqa: E402
 
 register("x1_links", O.links_sql())(lambda spark, d: X.links(table(spark, d, "pages")))
 
 register("x2_page_text", O.page_text_sql())(lambda spark, d: X.page_text(table(spark, d, "pages")))
 
-_KW_SQL = "|".join(CAREER_KEYWORDS).replace("-", "\\-")
-register("x3_career_links", (
-    f"SELECT page_id, min(pos) AS pos, absolute FROM ({O.links_sql()}) WHERE href <> '' AND "
-    f"regexp_matches(lower(concat_ws(' ', text, title, aria_label, href)), '{_KW_SQL}') GROUP BY page_id, absolute"))(
-    lambda spark, d: X.career_links(table(spark, d, "pages")))
+register("x3_career_links", O.CAREER_LINKS_SQL)(lambda spark, d: X.career_links(S.company_sites(spark, d)))
 
 # ---------------------------------------------------------------- crawl, enrichment, directory, health
 from career_index.operators import directory as DIR  # noqa: E402
@@ -451,28 +497,28 @@ register("s6_allow_urls", O.ALLOWED_SQL)(
 register("x4_list_rows", O.list_rows_sql())(lambda spark, d: X.list_rows(S.list_pages(spark, d, "wikipedia")))
 register("x7_infobox_website", O.INFOBOX_SQL)(lambda spark, d: X.infobox_website(S.detail_pages(spark, d)))
 register("x8_category_urls", O.CATEGORY_SQL)(lambda spark, d: X.category_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT))
-register("x9_listing_urls")(lambda spark, d: X.listing_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT)
+register("x9_listing_urls", O.LISTING_URLS_SQL)(lambda spark, d: X.listing_urls(S.directory_pages(spark, d), S.DIRECTORY_ROOT)
                             .select("page_id", "url", F.col("pos.block_pos").alias("block_pos")))
 register("x10_listing_records", O.LISTING_SQL)(lambda spark, d: X.listing_records(
     S.directory_pages(spark, d).where(F.col("url").contains("/listing/"))))
-register("x11_profile_urls")(lambda spark, d: X.profile_urls(
+register("x11_profile_urls", O.PROFILE_URLS_SQL)(lambda spark, d: X.profile_urls(
     S.profile_pages(spark, d, "clutch").where(F.col("url").contains("/list/")), "clutch.co", "profile")
     .select("page_id", "stage", "url"))
 register("x12_profile_records", O.PROFILE_SQL)(lambda spark, d: X.profile_records(
     S.profile_pages(spark, d, "themanifest").where(F.col("url").contains("/company/")), "themanifest"))
-register("x13_json_ld")(lambda spark, d: X.json_ld(S.company_sites(spark, d)).select(
+register("x13_json_ld", O.JSON_LD_SQL)(lambda spark, d: X.json_ld(S.company_sites(spark, d)).select(
     "page_id", "script_pos", F.length("raw").alias("raw_len")))
 register("x14_json_ld_country", O.LD_COUNTRY_SQL)(lambda spark, d: X.json_ld_country(X.json_ld(S.company_sites(spark, d))))
 register("x15_job_postings", O.POSTINGS_SQL)(lambda spark, d: X.job_postings(X.json_ld(_ckpt(S.company_sites(spark, d)))).select(
     "page_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "title", "url"))
 
-register("w3_career_pages")(lambda spark, d: EN.career_pages(
+register("w3_career_pages", O.CAREER_PAGES_SQL)(lambda spark, d: EN.career_pages(
     raw_candidates(spark, d).select(ensure_scheme(normalize_url(ustrip("website"))).alias("home")).distinct()
     .withColumn("home_domain", F.lower(netloc("home"))), EN.page_features(_ckpt(S.company_sites(spark, d)))))
-register("q6_enrich")(lambda spark, d: company_out(
+register("q6_enrich", O.enriched_sql())(lambda spark, d: company_out(
     EN.enrich(D.dedupe_candidates(raw_candidates(spark, d)), _ckpt(S.company_sites(spark, d)))
-    .withColumn("ord", F.col("source_rank").cast("long") * D.ORD_SOURCE_STRIDE + F.col("seq"))))
-register("w4_company_jobs")(lambda spark, d: EN.company_jobs(
+    .withColumn("ord", D.candidate_order())))
+register("w4_company_jobs", O.COMPANY_JOBS_SQL)(lambda spark, d: EN.company_jobs(
     raw_candidates(spark, d).select(
         F.concat(F.lit("https://"), domain_key(ensure_scheme("website")), F.lit("/careers")).alias("career_page_url"),
         F.lower(netloc(ensure_scheme("website"))).alias("company_domain")).distinct(),
@@ -481,27 +527,58 @@ register("w4_company_jobs")(lambda spark, d: EN.company_jobs(
 
 register("j2_fill_websites", O.list_rows_sql(filled=True))(lambda spark, d: DIR.fill_websites(
     X.list_rows(S.list_pages(spark, d, "wikipedia")), _ckpt(S.detail_pages(spark, d))))
-register("j4_crawl_directory")(lambda spark, d: DIR.crawl_directory(_ckpt(S.directory_pages(spark, d)), S.DIRECTORY_ROOT))
-register("j5_crawl_profiles")(lambda spark, d: DIR.crawl_profiles(
+register("j4_crawl_directory", O.CRAWLED_LISTINGS_SQL)(lambda spark, d: DIR.crawl_directory(_ckpt(S.directory_pages(spark, d)), S.DIRECTORY_ROOT))
+register("j5_crawl_profiles", O.CRAWLED_PROFILES_SQL)(lambda spark, d: DIR.crawl_profiles(
     _ckpt(S.profile_pages(spark, d, "clutch")), S.seeds(spark, d), "clutch", "clutch.co", "profile"))
-register("q8_build_directory")(lambda spark, d: D.union_sources(DIR.build_directory(
+register("q8_build_directory", O.directory_sql(EUROPE_COUNTRIES))(lambda spark, d: D.union_sources(DIR.build_directory(
     _ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT)).select(*DIR.CANDIDATE_COLS))
 
 
+def _scratch(spark, label):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _health_out(df):
+    return df.select("candidates.*", "enriched_with_careers", "final_merged", F.to_json("final_by_source").alias("final_by_source"))
+
+
 def _run(spark, d):
-    companies, health = B.run_index(_ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT)
-    return company_out(with_rank(companies, *Q.base_order()), "rank")
+    """The whole build; what it returns is read back from the snapshot that the build wrote."""
+    path = _scratch(spark, "index")
+    B.run_index(_ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT, companies_path=path)
+    return company_out(with_rank(SNAP.read_served_companies(spark, path), *Q.base_order()), "rank")
+
+
+def _run_health(spark, d):
+    """The health record that a whole build wrote, without its time stamp."""
+    path = _scratch(spark, "health")
+    B.run_index(_ckpt(S.crawl_snapshot(spark, d)), S.seeds(spark, d), S.DIRECTORY_ROOT, health_path=path)
+    return _health_out(SNAP.read_health(spark, path))
+
+
+def _health_roundtrip(spark, d):
+    path = _scratch(spark, "health")
+    cands = candidates_with_ord(spark, d)
+    SNAP.write_health(H.health(cands, D.dedupe_candidates(cands), final_records(cands), served(spark, d)), path)
+    return _health_out(SNAP.read_health(spark, path))
+
+
+register("q9_run_index", O.INDEX_SQL)(_run)
+register("q4_source_health", O.source_health_sql(EUROPE_COUNTRIES))(_run_health)
+register("s4_health_roundtrip", O.candidate_health_sql())(_health_roundtrip)
+
+
+def _companies_roundtrip(spark, d):
+    path = _scratch(spark, "companies")
+    SNAP.write_companies(final_records(candidates_with_ord(spark, d)), path)
+    return company_out(SNAP.read_companies(spark, path))
 
 
-register("q9_run_index")(_run)
-register("q4_source_health")(lambda spark, d: H.health(
-    raw_candidates(spark, d), D.dedupe_candidates(raw_candidates(spark, d)), served(spark, d), served(spark, d))
-    .select("generated_at_utc", "candidates.*", "enriched_with_careers", "final_merged",
-            F.to_json("final_by_source").alias("final_by_source")))
+register("s1_read_companies", f"WITH {O.final_records_cte()} SELECT {CO_SQL} FROM fr")(_companies_roundtrip)
 
 
 def _snapshot_roundtrip(spark, d):
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/companies-{uuid.uuid4().hex}"
+    path = _scratch(spark, "companies")
     SNAP.write_companies(served(spark, d), path)
     return company_out(SNAP.read_served_companies(spark, path))
 

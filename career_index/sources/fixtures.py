@@ -40,6 +40,8 @@ CANDIDATE_COLUMNS = (
 CUSTOMER_KEYS_SQL = ("CAST(floor(c_custkey / 10) AS BIGINT) * 10 + (c_custkey * 7) % 4 AS nid",
                      "CAST(floor(c_custkey / 10) AS BIGINT) * 10 + (c_custkey * 3) % 5 AS did")
 
+# Companies without jobs: those of every fourth customer.
+HAS_JOBS_SQL = "o_custkey % 4 <> 2"
 JOB_TITLE_SQL = "o_orderpriority"
 JOB_URL_SQL = ("concat('https://boards.greenhouse.io/c', CAST(o_custkey AS STRING), '/jobs/', "
                "CAST(o_orderkey % 4 AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN '/' ELSE '' END)")
@@ -49,7 +51,7 @@ JOB_TYPE = "array<struct<title:string,url:string>>"
 
 def candidate_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_custkey, jobs) with jobs ordered by order key; customers without orders get none."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders").where(HAS_JOBS_SQL)
     items = orders.select("o_custkey", F.struct(F.col("o_orderkey"), F.expr(JOB_TITLE_SQL).alias("title"),
                                                 F.expr(JOB_URL_SQL).alias("url")).alias("j"))
     return (items.groupBy("o_custkey")
@@ -75,7 +77,7 @@ def duckdb_raw_candidates_sql() -> str:
         "(SELECT " + cols + ", coalesce(j.jobs, []) AS jobs FROM "
         "(SELECT c_custkey, c_nationkey, " + ", ".join(CUSTOMER_KEYS_SQL) + " FROM customer) c "
         "LEFT JOIN (SELECT o_custkey, list({'title': " + JOB_TITLE_SQL + ", 'url': " + JOB_URL_SQL
-        + "} ORDER BY o_orderkey) AS jobs FROM orders GROUP BY o_custkey) j "
+        + "} ORDER BY o_orderkey) AS jobs FROM orders WHERE " + HAS_JOBS_SQL + " GROUP BY o_custkey) j "
         "ON j.o_custkey = c.c_custkey)"
     )
 

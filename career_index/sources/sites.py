@@ -38,7 +38,7 @@ def company_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homepages, about pages and career pages of the candidate companies."""
     d = _did_rows(spark, sf_dir)
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    d = d.join(F.broadcast(nation), d.c_nationkey == nation.n_nationkey, "left")  # 25-row table
+    d = d.join(nation, d.c_nationkey == nation.n_nationkey, "left")
     home = d.selectExpr("did * 100 + 1 AS page_id", "concat('https://c', CAST(did AS STRING), '.example.com/') AS url",
                         f"{HOME_SQL} AS html")
     www = d.selectExpr("did * 100 + 2 AS page_id", "concat('https://www.c', CAST(did AS STRING), '.example.com') AS url",
@@ -104,7 +104,7 @@ def list_pages(spark: SparkSession, sf_dir: str, kind: str = "wikipedia") -> Dat
     """Encyclopedia list pages: one per (region, chunk of 25 suppliers); rows are suppliers."""
     sup = table(spark, sf_dir, "supplier")
     nat = table(spark, sf_dir, "nation")
-    rows = sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)  # 25-row table
+    rows = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
     rows = rows.selectExpr("n_regionkey", "CAST(floor(s_suppkey / 25) AS BIGINT) AS chunk", "s_suppkey",
                            f"{LIST_ROW_SQL} AS r")
     agg = rows.groupBy("n_regionkey", "chunk").agg(
@@ -132,29 +132,30 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ listing directory
 
 DIRECTORY_ROOT = "https://www.startups.example.eu/directory/"
+CATEGORY_PATH_SQL = "concat('/directory/wpbdp_category/n', CAST(c_nationkey AS STRING), '/p', CAST(chunk AS STRING))"
 
 
 def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root page (category per nation), category pages (each lists all its customers), listing pages."""
+    """Root page (links to the numbered pages of each nation's category), category pages of at most 20 customers, listing pages."""
     nat = table(spark, sf_dir, "nation")
-    cust = table(spark, sf_dir, "customer")
-    cat_links = nat.selectExpr("n_nationkey", f"concat('<a href=\"/directory/wpbdp_category/n', CAST(n_nationkey AS STRING), '/\">', n_name, '</a>') AS a")
-    root = cat_links.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "a"))),
+    cust = table(spark, sf_dir, "customer").withColumn("chunk", F.expr("CAST(floor(c_custkey / 500) AS BIGINT)"))
+    cat_links = cust.select("c_nationkey", "chunk").distinct().selectExpr(
+        "c_nationkey", "chunk", f"concat('<a href=\"', {CATEGORY_PATH_SQL}, '/\">', CAST(chunk AS STRING), '</a>') AS a")
+    root = cat_links.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_nationkey", "chunk", "a"))),
                                                   lambda x: x["a"]), "").alias("links")).selectExpr(
         "4000000000 AS page_id", f"'{DIRECTORY_ROOT}' AS url",
-        "concat('<html><body><div class=\"cats\">', links, '<a href=\"/directory/wpbdp_category/n0/\">again</a></div></body></html>') AS html")
-    items = cust.selectExpr("c_nationkey", "c_custkey",
+        "concat('<html><body><div class=\"cats\">', links, regexp_extract(links, '<a.*?</a>', 0), '</div></body></html>') AS html")
+    items = cust.selectExpr("c_nationkey", "chunk", "c_custkey",
                             "concat('<h2 class=\"listing-title\"><a href=\"/directory/listing/c', CAST(c_custkey AS STRING), "
                             "'/\">Customer ', CAST(c_custkey AS STRING), '</a></h2>', "
                             "CASE WHEN c_custkey % 9 = 0 THEN '<h2 class=\"listing-title\"><a href=\"/directory/?wpbdp_view=all\">all</a></h2>' ELSE '' END) AS a")
-    # The root links one page per category, and no page links on, as the crawl follows no numbered pages.
-    cats = items.groupBy("c_nationkey").agg(
+    cats = items.groupBy("c_nationkey", "chunk").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "a"))), lambda x: x["a"]), "").alias("links"))
     cats = cats.selectExpr(
-        "4100000000 + c_nationkey * 1000000 AS page_id",
-        f"concat('{DIRECTORY_ROOT}wpbdp_category/n', CAST(c_nationkey AS STRING)) AS url",
+        "4100000000 + c_nationkey * 1000000 + chunk AS page_id",
+        f"concat('https://www.startups.example.eu', {CATEGORY_PATH_SQL}) AS url",
         "concat('<html><body>', links, '</body></html>') AS html")
-    listing = cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey).selectExpr(  # 25-row table
+    listing = cust.join(nat, cust.c_nationkey == nat.n_nationkey).selectExpr(
         "4200000000 + c_custkey AS page_id",
         f"concat('{DIRECTORY_ROOT}listing/c', CAST(c_custkey AS STRING)) AS url",
         "concat('<html><body><h1>', CASE WHEN c_custkey % 11 = 0 THEN concat('www.c', CAST(c_custkey AS STRING), '.example.com') "
@@ -177,7 +178,7 @@ def profile_pages(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     base_id = 5000000000 if source == "clutch" else 6000000000
     sup = table(spark, sf_dir, "supplier")
     nat = table(spark, sf_dir, "nation")
-    s = sup.join(F.broadcast(nat), sup.s_nationkey == nat.n_nationkey)  # 25-row table
+    s = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
     entry = s.selectExpr("n_regionkey", "CAST(floor(s_suppkey / 20) AS BIGINT) AS chunk", "s_suppkey",
                          f"concat('<a href=\"/{marker}/s', CAST(s_suppkey AS STRING), '\">', s_name, '</a>') AS a")
     lists = entry.groupBy("n_regionkey", "chunk").agg(

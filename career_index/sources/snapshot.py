@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from career_index.operators.ranking import with_rank
 from career_index.storage import stored
 
 COMPANY_SCHEMA = ("name string, website string, career_page_url string, country_of_origin string, source string, "
@@ -30,15 +31,23 @@ def _load(spark: SparkSession, path: str, fmt: str, mode: str = "PERMISSIVE") ->
     reader = spark.read.schema(COMPANY_SCHEMA).option("mode", mode)
     if fmt != "json":
         return reader.format(fmt).load(path)
-    head = spark.read.text(path, wholetext=False).where("trim(value) != ''").limit(1).collect()
-    return reader.option("multiLine", bool(head) and head[0][0].lstrip().startswith("[")).json(path)
+    # One character decides, whatever the length of the first line.
+    head = spark.read.text(path).select(F.left(F.ltrim("value"), F.lit(1)).alias("c")).where("c != ''").limit(1).collect()
+    return reader.option("multiLine", bool(head) and head[0][0] == "[").json(path)
 
 
 def _with_ord(df: DataFrame) -> DataFrame:
-    """Rows keep their own ``ord``; where it is missing, rows follow in the order of the file."""
+    """Rows keep their own ``ord``; those without one follow all others, in the order of the files, their parts, and the places there."""
     if df.where("ord IS NULL").isEmpty():
         return df
-    return stored(df.withColumn("ord", F.coalesce("ord", F.monotonically_increasing_id())), "snapshot")
+    # A task reads a part from its start on, so this number rises with the place; the table is written once, so it can't change between uses.
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_part"),
+                       F.monotonically_increasing_id().alias("_at"))
+    placed = stored(placed, "snapshot")
+    last = placed.agg(F.max("ord")).first()[0]
+    own = placed.where("ord IS NOT NULL").drop("_file", "_part", "_at")
+    rest = with_rank(placed.where("ord IS NULL").drop("ord"), "_file", "_part", "_at", rank_col="ord").drop("_file", "_part", "_at")
+    return own.unionByName(rest.withColumn("ord", F.col("ord") + F.lit(-1 if last is None else last)))
 
 
 def read_companies(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

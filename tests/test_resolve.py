@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from career_index.operators.dedupe import greedy_dedupe
-from career_index.operators.resolve import final_records, resolve_fold
+from career_index.operators.contraction import components
+from career_index.operators.resolve import final_records, live_keys, resolve_domain_only, resolve_fold
 from career_index.functions.text import name_key
 from career_index.functions.urls import normalize_url
 
@@ -55,17 +56,105 @@ SCHEMA = ("ord long, name string, website string, career_page_url string, countr
           "source string, jobs array<struct<title:string,url:string>>")
 
 
-def test_w8_matches_sequential_model(spark):
-    rng = random.Random(7)
-    for trial in range(6):
-        recs = random_records(rng, rng.randint(5, 40))
-        df = spark.createDataFrame([tuple(r.values()) for r in recs], SCHEMA)
-        fin = final_records(df)
-        got = {r["ord_rec"]: r["ord"] for r in
-               resolve_fold(fin.withColumn("ord_rec", F.col("ord"))).select("ord_rec", "ord").collect()}
-        # www. alone gives an empty domain key but the website is still valid only with a dot host
-        kept = [r for r in recs if "." in r["website"].split("://", 1)[1]]
-        assert got == model_w8(kept), f"trial {trial}"
+def trials(rng, count):
+    """Random record lists with keys of their own, as one list in one order; and each list by itself."""
+    lists = []
+    for t in range(count):
+        recs = random_records(rng, rng.randint(1, 45))
+        names = rng.randint(1, 25)
+        for r in recs:
+            if rng.random() < 0.5:  # names of one domain, of several, and domains of one record
+                r["name"] = f"name {rng.randint(1, names)}"
+            if rng.random() < 0.2:
+                r["website"] = f"https://once{r['ord']}.com"
+            if rng.random() < 0.1:
+                r["website"] = "https://www./x."
+            r["name"] = f"{r['name']} t{t}"
+            host, sep, path = r["website"].partition("://")[2].partition("/")
+            r["website"] = "https://" + (host if host == "www." else f"{host.removesuffix('.com')}.t{t}.com") + sep + path
+            r["ord"] = r["ord"] * count + t
+        lists.append([r for r in recs if "." in r["website"].partition("://")[2].partition("/")[0]])
+    return lists, sorted((r for x in lists for r in x), key=lambda r: r["ord"])
+
+
+def places(df):
+    return {r["ord_rec"]: r["ord"] for r in df.select("ord_rec", "ord").collect()}
+
+
+@pytest.mark.parametrize("segment_bits,fan_bits", [(12, 6), (1, 1)])
+def test_w8_matches_sequential_model(spark, segment_bits, fan_bits):
+    """200 random lists side by side; ``www.`` alone gives an empty domain key, so those records go by name across lists' domains."""
+    rng = random.Random(7 + segment_bits)
+    lists, recs = trials(rng, 200)
+    fin = final_records(spark.createDataFrame([tuple(r.values()) for r in recs], SCHEMA).repartition(5)).withColumn("ord_rec", F.col("ord"))
+    want = {k: v for x in lists for k, v in model_w8(x).items()}
+    assert places(resolve_fold(fin, segment_bits=segment_bits, fan_bits=fan_bits)) == want
+
+
+def model_domain_only(records):
+    out, holder = {}, {}
+    for r in records:
+        host = r["website"].partition("://")[2].partition("/")[0].lower().removeprefix("www.")
+        if not host:
+            out[r["ord"]] = r["ord"]
+            continue
+        known = r["country_of_origin"] != "Unknown"
+        facts = (known + (r["source"] != "unknown") + bool(r["jobs"]), known, -len(r["career_page_url"]))
+        if host not in holder:
+            holder[host] = (facts, r["ord"], r["ord"])
+        elif any(a > b for a, b in zip(facts, holder[host][0], strict=True)):
+            holder[host] = (facts, r["ord"], holder[host][2])
+    return out | {rec: slot for _, rec, slot in holder.values()}
+
+
+@pytest.mark.parametrize("segment_bits,fan_bits", [(12, 6), (2, 1), (0, 2)])
+def test_w8_domain_only_composes_segments(spark, segment_bits, fan_bits):
+    """A domain with most of the records, cut into segments of 4 records or of one."""
+    rng = random.Random(3)
+    _, recs = trials(rng, 12)
+    for r in recs:
+        if rng.random() < 0.6:
+            r["website"] = "https://www.hub.com"
+            r["career_page_url"] = "https://x.com/" + "c" * rng.randint(1, 60)
+    fin = final_records(spark.createDataFrame([tuple(r.values()) for r in recs], SCHEMA).repartition(4)).withColumn("ord_rec", F.col("ord"))
+    assert places(resolve_domain_only(fin, segment_bits, fan_bits)) == model_domain_only(recs)
+
+
+def test_w8_hub_domain_with_names_of_its_own_needs_no_python_worker(spark):
+    """Names bound to one domain are never live keys, so the hub is folded by segments alone."""
+    rows = [(i, f"n{i % 50}", "https://hub.com", f"https://x.com/{'c' * (i % 7)}", "France", "s", None) for i in range(300)]
+    fin = final_records(spark.createDataFrame(rows, SCHEMA))
+    keys = fin.selectExpr("ord", "'hub.com' AS dk", "name AS nk", "7 AS score", "false AS unk", "1 AS clen")
+    assert live_keys(keys).filter("n IS NOT NULL").isEmpty()
+    folded = resolve_fold(fin, segment_bits=3)
+    assert "Python" not in folded._jdf.queryExecution().toString()
+    assert [r.ord for r in folded.collect()] == [0]
+
+
+def test_chain_of_records_contracts_in_few_rounds(spark):
+    n = 10_000
+    out = components(spark.range(n).selectExpr("id AS u", "id + 1 AS v"))
+    assert out.rounds <= 20
+    assert out.count() == n + 1 and out.select("root").distinct().count() == 1
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(7, 7)] + [(1000, k) for k in range(1001, 1200)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[find(u)] = find(v)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert set(got) == {x for u, v in edges if u != v for x in (u, v)}
+    groups = lambda f: sorted(sorted(x for x in got if f(x) == g) for g in {f(x) for x in got})
+    assert groups(got.get) == groups(find)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 def model_w2(rows):
@@ -92,11 +181,34 @@ def test_w2_third_row_kept(spark):
     assert got == [1, 3]
 
 
+def dense_rows(rng, n, keys):
+    return [(i, f"n{rng.randrange(keys)}", rng.choice(["", *[f"w{k}" for k in range(keys)]])) for i in range(n)]
+
+
+def test_w2_many_lists_side_by_side(spark):
+    """120 random lists with keys of their own in one run."""
+    rng = random.Random(23)
+    lists = [[(i * 120 + t, f"{a} l{t}", b and f"{b}-l{t}") for i, a, b in dense_rows(rng, rng.randint(1, 60), rng.randint(1, 25))] for t in range(120)]
+    df = spark.createDataFrame([r for x in lists for r in x], "o long, name string, website string").repartition(6)
+    got = sorted(r.o for r in greedy_dedupe(df, F.col("name"), F.col("website"), ["o"]).collect())
+    assert got == sorted(o for x in lists for o in model_w2(x))
+
+
+@pytest.mark.parametrize("n,rounds", [(24, 6), (100_000, 6)])
+def test_w2_chain_takes_few_rounds(spark, n, rounds):
+    """Every row shares a key with the one before and the other with the one after: each second row stays."""
+    df = spark.range(n).selectExpr("id AS o", "concat('n', (id + 1) div 2) AS name", "concat('w', id div 2) AS website")
+    got = greedy_dedupe(df, F.col("name"), F.col("website"), ["o"], max_rounds=rounds)
+    assert got.selectExpr("count(*)", "sum(o % 2)").first()[:] == (n // 2, 0)
+
+
 def test_w2_raises_instead_of_returning_short(spark):
-    rows = [(i, f"n{(i + 1) // 2}", f"w{i // 2}") for i in range(24)]
+    rows = dense_rows(random.Random(1), 400, 60)
     df = spark.createDataFrame(rows, "o long, name string, website string")
     with pytest.raises(RuntimeError, match="undecided"):
-        greedy_dedupe(df, name_key("name"), normalize_url("website"), ["o"], max_rounds=3)
+        greedy_dedupe(df, F.col("name"), F.col("website"), ["o"], max_rounds=1)
+    got = sorted(r.o for r in greedy_dedupe(df, F.col("name"), F.col("website"), ["o"]).collect())
+    assert got == model_w2(rows)
 
 
 def test_w2_keeps_a_row_with_a_null_key(spark):
