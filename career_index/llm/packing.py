@@ -66,7 +66,8 @@ def simplified(text: str) -> str:
 class WordEncoder:
     """Little-endian 32-bit ids of texts, word by word, with a bounded cache of words.
 
-    No token of this tokeniser spans a space, so the ids of a text are those of its words.
+    No token of this tokeniser spans a space, so the ids of a text are those of its words. A text that holds the literal of a
+    special token goes to the tokeniser whole, which reads the literal as that token.
     """
 
     def __init__(self, path: str, cache_limit: int = 700_000):
@@ -74,8 +75,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.literals = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
         self.known: dict[str, bytes] = {"": b""}
         self.cache_limit = cache_limit
@@ -100,6 +101,10 @@ class WordEncoder:
 
     def encode(self, texts) -> Iterator[bytes]:
         for text in texts:
+            low = text.lower()
+            if any(x in low for x in self.literals):
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                continue
             words = simplified(text).split(" ")
             if any(w not in self.known for w in words):
                 self.learn(set(words))

@@ -17,12 +17,11 @@ def odd_texts():
     rng = random.Random(5)
     letters = "abcXYZ éÉßΣσçİ́̊K,.!_'’\"-\n\t\r\x1c\x85\xa0  0123日本🙂ﬁ"
     out = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(400)]
-    return out + ["", "a", "it's,. 'S we'LL ...", "<|endoftext|> x", "Σ ΣΑΣ.", "x_,y", "a" * 300, "1,000.5", "Hello, World.\nNext, one."]
+    return out + ["", "a", "it's,. 'S we'LL ...", "<|endoftext|> x", "a <|endoftext|> b", "a<|EndOfText|>b <|startoftext|>c", "<|STARTOFTEXT|>", "<|endoftext|>\u0338 ß", "<|endoftext", "Σ ΣΑΣ.", "x_,y", "a" * 300, "1,000.5", "Hello, World.\nNext, one."]
 
 
 def ids_of(texts):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -56,7 +55,7 @@ def check_layout(rows, texts, capacity):
 @pytest.mark.parametrize("capacity", [16, 64])
 def test_pieces_and_layout(spark, capacity):
     rng = random.Random(capacity)
-    texts = [(k, " ".join(rng.choice(["the", "zebra", "of"]) for _ in range(rng.randrange(40)))) for k in range(300)] + [(300, None), (301, "")]
+    texts = [(k, " ".join(rng.choice(["the", "zebra", "of"]) for _ in range(rng.randrange(40)))) for k in range(300)] + [(300, None), (301, ""), (302, "a <|endoftext|> b")]
     df = spark.createDataFrame([(i, t, 1, "clash") for i, t in texts], SCHEMA)
     rows = packing.pack(df, PATH, capacity=capacity).collect()
     n = check_layout(rows, texts, capacity)
