@@ -1,12 +1,12 @@
 """Text keys and string-semantics helpers.
 
 Python's ``str.strip`` and ``\\s`` are Unicode-aware, Spark's ``trim`` only strips spaces, so
-whitespace handling goes through Unicode-mode regexes. ``fold`` approximates ``str.casefold``
-for the two letters where it differs from ``lower`` in practice (sharp s and final sigma).
+whitespace handling goes through Unicode-mode regexes where a text isn't ASCII. ``fold`` equals ``str.casefold``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -55,9 +55,30 @@ def clean_cell(c) -> Column:
     return ustrip(collapse_ws(F.regexp_replace(_c(c), r"\[[^\]]+\]", "")))
 
 
+def _fold_tables() -> tuple[dict[str, str], dict[str, str]]:
+    """Case folding of single characters that become one character, and of those that become several (after ``lower``)."""
+    one, many = {}, {}
+    for point in [*range(128, 0xD800), *range(0xE000, 0x110000)]:
+        folded = chr(point).casefold()
+        if folded != chr(point):
+            (one if len(folded) == 1 else many)[chr(point)] = folded
+    return one, many
+
+
+_FOLD_ONE, _FOLD_MANY = _fold_tables()
+
+
 def fold(c) -> Column:
-    """Case fold: lower-case, then sharp s -> ss and final sigma -> sigma."""
-    return F.replace(F.replace(F.lower(_c(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """``str.casefold()``. ASCII texts are only lower-cased; others meet a map of characters, with one-to-many entries where needed."""
+    def folded(x: Column) -> Column:
+        several = F.from_json(F.lit(json.dumps(_FOLD_MANY)), "map<string,string>")
+        # Every character is folded by itself: lower-casing would depend on its neighbours and on the version of Unicode.
+        spread = F.when(x.rlike("[" + "".join(_FOLD_MANY) + "]"), F.array_join(F.transform(
+            F.split(x, ""), lambda ch: F.coalesce(F.element_at(several, ch), ch)), "")).otherwise(x)
+        capitals = "".join(map(chr, range(65, 91)))
+        return F.translate(spread, capitals + "".join(_FOLD_ONE), capitals.lower() + "".join(_FOLD_ONE.values()))
+
+    return let(_c(c), lambda x: F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(folded(x)))
 
 
 def contains_folded(hay, needle) -> Column:

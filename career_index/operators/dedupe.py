@@ -116,6 +116,8 @@ def _links(rows: DataFrame) -> DataFrame:
 def _chain_ends(links: DataFrame, max_doublings: int = 64) -> DataFrame:
     """(_o, up, odd): the row at the end of the chain that each row hangs on, and whether the number of steps to it is odd. Pointers are doubled."""
     open_ = stored(links.withColumn("odd", F.lit(True)), "chains")
+    if open_.isEmpty():
+        return open_
     done = []
     for _ in range(max_doublings):
         ahead = reduce(lambda a, b: a.unionByName(b), [open_, *done]).select(F.col("_o").alias("up"), F.col("up").alias("next"), F.col("odd").alias("more"))

@@ -1,8 +1,7 @@
 """Extraction jobs over the page table.
 
-HTML is not parsed into a DOM: each job pulls the needed markup with ``regexp_extract_all``
+HTML is not parsed into a DOM: each job pulls the needed markup with ``regexp_extract_all``, or ``elements`` where elements can be nested,
 + ``posexplode`` and immediately projects ``html`` away, so no later shuffle carries page bodies.
-Scope: regular markup, matched tags not nested in themselves, attributes quoted or bare.
 Tag boundaries become spaces before whitespace is collapsed, which equals joining text nodes
 with a single space as the scrapers did.
 """
@@ -10,7 +9,8 @@ with a single space as the scrapers did.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,12 @@ TAG_REST = r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>=]++|=)*+"
 # One step through an opening tag, never ending inside a quoted value.
 TAG_STEP = r"(?>=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=|[^>=\s]++|\s)"
 ANCHOR_RE = rf"(?is)<a\s{TAG_REST}>.*?</a>"
-ENTITY_RE = r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+# A character reference behind its "&": a number, or up to 32 characters of a name.
+NUMBER_RE = r"^#([0-9]+);?"
+HEX_RE = r"^#[xX]([0-9a-fA-F]+);?"
+NAME_RE = r"^([^\t\n\f <&#;]{1,32};?)"
+# Names that also count without a semicolon, and with other characters behind them; the longest is taken.
+SHORT_NAME_RE = "^(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 HIDDEN_RE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 # A JSON-LD script's content is group 1; comments and other scripts are stepped over.
 SCRIPT_LD_RE = (r"(?is)<script\b[^>]*type\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
@@ -38,30 +43,96 @@ def class_value(token: str) -> str:
     return rf"class\s*=\s*[\"'](?:[^\"']*\s)?{token}(?:\s[^\"']*)?[\"']"
 
 
-def _code_point(code: Column) -> Column:
-    """The character of a code point; U+FFFD where there is none."""
-    ok = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(ok, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+def _names() -> Column:
+    """Characters of the named references of HTML 5, by first letter and name; two short lookups in place of one long one."""
+    by_letter: dict[str, dict[str, str]] = {}
+    for name, chars in html5.items():
+        by_letter.setdefault(name[0], {})[name] = chars
+    return F.from_json(F.lit(json.dumps(by_letter)), "map<string,map<string,string>>")
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The text of a numeric reference: U+FFFD where there is no such character, nothing for controls and non-characters, and Windows-1252 from 128 to 159."""
+    bare = F.ltrim(digits, F.lit("0"))
+    code = F.when(F.length(bare) > 9, F.lit(1 << 30)).when(bare == "", F.lit(0)).otherwise(
+        (F.conv(bare, 16, 10) if base == 16 else bare).try_cast("bigint"))
+
+    def char(n: Column) -> Column:
+        none = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+        silent = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        old = F.element_at(F.array(*[F.lit(bytes([k]).decode("cp1252", "replace").replace("\ufffd", chr(k))) for k in range(128, 160)]), (n - 127).cast("int"))
+        utf = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(none, F.lit("\ufffd")).when(silent, F.lit("")).when(n.between(128, 159), old).otherwise(utf)
+
+    return let(code, char)
 
 
 def decode_entities(c) -> Column:
-    """Character references replaced once: numeric ones, and the named ones of HTML 4 and ``&apos;``."""
-    named = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"})), "map<string,string>")
+    """Character references replaced once, as HTML 5 has them: numbers, names, and the longest name in front where a semicolon is missing."""
+    def piece(t: Column) -> Column:
+        def with_name(name: Column) -> Column:
+            whole = F.element_at(F.element_at(_names(), F.left(name, F.lit(1))), name)
+            short = let(F.regexp_extract(t, SHORT_NAME_RE, 1), lambda n: F.when(n != "", F.concat(
+                F.element_at(F.element_at(_names(), F.left(n, F.lit(1))), n), F.substr(t, F.length(n) + F.lit(1)))))
+            return let(whole, lambda w: F.when(w.isNotNull(), F.concat(w, F.substr(t, F.length(name) + F.lit(1)))).otherwise(short))
+
+        def number(pattern: str, base: int) -> Column:
+            return F.concat(_numbered(F.regexp_extract(t, pattern, 1), base), F.regexp_replace(t, pattern, ""))
+
+        known = (F.when(t.rlike(HEX_RE), number(HEX_RE, 16)).when(t.rlike(NUMBER_RE), number(NUMBER_RE, 10))
+                 .when(t.rlike("^[A-Za-z]"), let(F.regexp_extract(t, NAME_RE, 1), with_name)))
+        return F.coalesce(known, F.concat(F.lit("&"), t))
+
+    return let(_c(c), lambda x: F.when(x.contains("&"), F.array_join(F.transform(
+        F.split(x, "&"), lambda t, i: F.when(i == 0, t).otherwise(piece(t))), "")).otherwise(x))
+
+
+# Elements without an end tag.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+OPEN_TAG_RE = rf"(?is)^<[a-z][a-z0-9]*(?:\s{TAG_REST}|/)?>"
+ANY_TAG = "[a-z][a-z0-9]*"
+
+
+def elements(markup, wanted: str, tags: str = ANY_TAG) -> Column:
+    """Elements whose start tag matches ``wanted``, in document order, nested ones too: an array of (open, inner).
+
+    One fold over the tags keeps the stack of open elements. An end tag closes the last open element of its name and all that are open within it; elements
+    left open end with the markup. ``tags``: the names that are looked at. A "<" within an attribute value is read as a tag.
+    """
+    mark = "struct<n:string,s:int,w:boolean>"
 
-    def decoded(x: Column) -> Column:
-        # Staged, so that no expression is written out twice in the next one.
-        parts = F.transform(F.split(x, "&"), lambda t, i: F.struct(
-            t.alias("t"), F.when(i > 0, F.regexp_extract(t, ENTITY_RE, 1)).alias("ref")))
-        coded = F.transform(parts, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
-            p["ref"].startswith("#"), F.when(F.substring(p["ref"], 2, 1).isin("x", "X"), F.conv(F.substring(p["ref"], 3, 9), 16, 10))
-            .otherwise(F.substring(p["ref"], 2, 9))).try_cast("bigint").alias("code")))
-        chars = F.transform(coded, lambda p: F.struct(p["t"].alias("t"), p["ref"].alias("ref"), F.when(
-            p["code"].isNotNull(), _code_point(p["code"])).when(p["ref"] != "", F.element_at(named, p["ref"])).alias("char")))
-        return F.array_join(F.transform(chars, lambda p: F.when(p["ref"].isNull(), p["t"]).when(
-            p["char"].isNull(), F.concat(F.lit("&"), p["t"])).otherwise(
-            F.concat(p["char"], F.substr(p["t"], F.length(p["ref"]) + F.lit(2))))), "")
+    def close(acc: Column, m: Column) -> Column:
+        stack = acc["stack"]
+        back = F.array_position(F.reverse(F.transform(stack, lambda o: o["n"])), m["n"]).cast("int")
+        at = F.size(stack) - back + 1
+        ended = F.transform(F.filter(F.slice(stack, at, F.greatest(back, F.lit(0))), lambda o: o["w"]), lambda o: F.struct(o["s"].alias("s"), m["s"].alias("e")))
+        return F.when(back > 0, F.struct(F.slice(stack, 1, at - 1).alias("stack"), F.concat(acc["spans"], ended).alias("spans"))).otherwise(acc)
 
-    return let(_c(c), lambda x: F.when(x.contains("&"), decoded(x)).otherwise(x))
+    def step(acc: Column, m: Column) -> Column:
+        opened = F.struct(F.array_append(acc["stack"], m["o"]).alias("stack"), acc["spans"].alias("spans"))
+        return F.when(m["shut"], close(acc, m["o"])).when(m["o"]["n"] != "", opened).otherwise(acc)
+
+    def of_pieces(pieces: Column) -> Column:
+        def marked(p: Column, i: Column) -> Column:
+            name = F.lower(F.regexp_extract(p, f"(?i)^</?({tags})(?=[\\s/>])", 1))
+            empty = name.isin(*VOID_TAGS) | p.rlike("(?s)^<[^>]*/>")
+            return F.struct(p.startswith("</").alias("shut"), F.struct(F.when(empty, F.lit("")).otherwise(name).alias("n"), i.alias("s"), p.rlike(wanted).alias("w")).alias("o"))
+
+        start = F.struct(F.array().cast(f"array<{mark}>").alias("stack"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
+        left = lambda acc: F.transform(F.filter(acc["stack"], lambda o: o["w"]), lambda o: F.struct(o["s"].alias("s"), F.size(pieces).alias("e")))
+        spans = F.aggregate(F.transform(pieces, marked), start, step, lambda acc: F.array_sort(F.concat(acc["spans"], left(acc))))
+
+        def element(x: Column) -> Column:
+            return let(F.get(pieces, x["s"]), lambda p: let(F.regexp_extract(p, OPEN_TAG_RE, 0), lambda t: F.struct(
+                t.alias("open"), F.concat(F.substr(p, F.length(t) + F.lit(1)), F.array_join(F.slice(pieces, x["s"] + 2, x["e"] - x["s"] - 1), "")).alias("inner"))))
+        return F.transform(spans, element)
+
+    return let(F.split(_c(markup), f"(?i)(?=</?(?:{tags})[\\s/>])"), of_pieces)
+
+
+def with_class(token: str, tag: str = ANY_TAG) -> str:
+    """Pattern of a start tag with ``token`` among its classes."""
+    return rf"(?is)^<{tag}\s(?:[^>]*\s)?{class_value(token)}"
 
 
 def tag_text(inner) -> Column:
@@ -208,39 +279,32 @@ def job_postings(payloads: DataFrame, max_depth: int = 200) -> DataFrame:
     nested postings come out in document (pre-)order. Returns (page_id, path, title, url)
     where ``path`` sorts in walk order.
     """
-    from career_index.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(payloads.sparkSession)
-    # Payloads are small strings; cut lineage once so each level re-reads them, not the pages.
-    level = payloads.select("page_id", F.array(F.col("script_pos")).alias("path"), _marked("raw").alias("j")) \
-        .checkpoint(eager=True)
+    level = payloads.select("page_id", F.array(F.col("script_pos")).alias("path"), _marked("raw").alias("j"))
     found = []
     for depth in range(max_depth + 2):
-        if depth and level.isEmpty():
-            break
-        if depth > max_depth:
-            raise ValueError(f"JSON is nested deeper than {max_depth} levels")
-        k = _kind(F.col("j"))
         # The entries and the type become columns, so that each is read once.
-        parsed = level.select("page_id", "path", k.alias("k"), F.col("j"), F.when(k == "o", _entries(F.col("j"))).alias("e"))
+        k = _kind(F.col("j"))
+        read = level.select("page_id", "path", k.alias("k"), "j", F.when(k == "o", _entries(F.col("j"))).alias("e"))
 
         def field(name):
             return F.get(F.filter("e", lambda e: e["key"] == _STRING + name), F.lit(0))["value"]
         typ = field("@type")
         is_post = (typ == _STRING + "JobPosting") | (typ.startswith("[") & F.coalesce(
             F.array_contains(F.from_json(typ, "array<string>"), _STRING + "JobPosting"), F.lit(False)))
-        posts = parsed.where(is_post).select(
-            "page_id", "path",
-            ustrip(F.coalesce(_text(field("title")), F.lit(""))).alias("title"),
-            ustrip(F.coalesce(_text(field("url")), F.lit(""))).alias("url"))
-        found.append(posts.where((F.col("title") != "") & (F.col("url") != "")))
+        text = lambda name: F.when(is_post, ustrip(F.coalesce(_text(field(name)), F.lit(""))))
         kids = F.when(F.col("k") == "o", F.transform("e", lambda e: e["value"])) \
             .when(F.col("k") == "a", F.from_json(F.col("j"), "array<string>"))
-        level = parsed.select("page_id", "path", F.posexplode(kids).alias("p", "j2")).select(
-            "page_id", F.array_append("path", F.col("p")).alias("path"), F.col("j2").alias("j")
-        ).where(_kind(F.col("j")) != "s")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        inner = F.filter(F.transform(kids, lambda x, i: F.struct(i.alias("p"), x.alias("j"))), lambda x: _kind(x["j"]) != "s")
+        # Written once: the postings of a level and the next level are read from the same rows, and no level runs again.
+        read = stored(read.select("page_id", "path", text("title").alias("title"), text("url").alias("url"), inner.alias("inner")), "json-level")
+        found.append(read.where("title <> '' AND url <> ''").select("page_id", "path", "title", "url"))
+        rest = read.where("size(inner) > 0")
+        if rest.isEmpty():
+            break
+        if depth == max_depth:
+            raise ValueError(f"JSON is nested deeper than {max_depth} levels")
+        level = rest.select("page_id", "path", F.explode("inner").alias("x")).select("page_id", F.array_append("path", F.col("x.p")).alias("path"), "x.j")
+    out = reduce(lambda a, b: a.unionByName(b), found)
     return out.withColumn("url", normalize_url("url"))
 
 
@@ -277,16 +341,10 @@ def list_rows(pages: DataFrame) -> DataFrame:
     ``/wiki/`` link without ``:`` in the name cell (X6).
     """
     from career_index.constants import COUNTRY_HEADER_TOKENS, NAME_HEADER_TOKENS, WEBSITE_HEADER_TOKENS
-    tables = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        shown("html"), F.lit(rf"(?is)<table\s(?:[^>]*\s)?{class_value('wikitable')}[^>]*>.*?</table>"), 0))
-        .alias("table_pos", "t"))
-    rows = tables.select("page_id", "table_pos", F.posexplode(F.regexp_extract_all(
-        "t", F.lit(r"(?is)<tr(?:\s[^>]*)?>.*?</tr>"), 0)).alias("row_pos", "r"))
-    cells = rows.select("page_id", "table_pos", "row_pos", F.posexplode(F.regexp_extract_all(
-        "r", F.lit(r"(?is)<t[hd](?:\s[^>]*)?>.*?</t[hd]>"), 0)).alias("cell_pos", "c"))
-    cells = cells.select("page_id", "table_pos", "row_pos", "cell_pos",
-                         F.lower(F.substring("c", 3, 1)).alias("kind"),
-                         F.regexp_extract("c", r"(?is)^<t[hd](?:\s[^>]*)?>(.*)</t[hd]>\z", 1).alias("inner"))
+    tables = pages.select("page_id", F.posexplode(elements(shown("html"), with_class("wikitable", "table"), "table")).alias("table_pos", "t"))
+    rows = tables.select("page_id", "table_pos", F.posexplode(elements("t.inner", "(?i)^<tr", "tr")).alias("row_pos", "r"))
+    cells = rows.select("page_id", "table_pos", "row_pos", F.posexplode(elements("r.inner", "(?i)^<t[hd]", "th|td")).alias("cell_pos", "c"))
+    cells = cells.select("page_id", "table_pos", "row_pos", "cell_pos", F.lower(F.substring("c.open", 3, 1)).alias("kind"), F.col("c.inner").alias("inner"))
     cells = cells.withColumn("text", clean_cell(tag_text("inner")))
 
     head = cells.where((F.col("row_pos") == 0) & (F.col("kind") == "h"))
@@ -338,14 +396,12 @@ def infobox_website(pages: DataFrame) -> DataFrame:
     """Website from an article page: rows of ``table.infobox`` whose header mentions
     "website" -> first off-encyclopedia ``http`` link in the row's data cells; else the first
     such link of the official-website / homepage list items. Returns (page_id, website)."""
-    boxes = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        shown("html"), F.lit(rf"(?is)<table\s(?:[^>]*\s)?{class_value('infobox')}[^>]*>.*?</table>"), 0))
-        .alias("box_pos", "t"))
-    rows = boxes.select("page_id", "box_pos", F.posexplode(F.regexp_extract_all(
-        "t", F.lit(r"(?is)<tr(?:\s[^>]*)?>.*?</tr>"), 0)).alias("row_pos", "r"))
-    hdr = F.lower(tag_text(F.regexp_extract("r", r"(?is)<th(?:\s[^>]*)?>(.*?)</th>", 1)))
-    rows = rows.where(hdr.contains("website"))
-    tds = F.array_join(F.regexp_extract_all("r", F.lit(r"(?is)<td(?:\s[^>]*)?>.*?</td>"), 0), " ")
+    boxes = pages.select("page_id", F.posexplode(elements(shown("html"), with_class("infobox", "table"), "table")).alias("box_pos", "t"))
+    rows = boxes.select("page_id", "box_pos", F.posexplode(elements("t.inner", "(?i)^<tr", "tr")).alias("row_pos", "r"))
+    rows = rows.select("page_id", "box_pos", "row_pos", elements("r.inner", "(?i)^<t[hd]", "th|td").alias("cells"))
+    of_kind = lambda kind: F.filter("cells", lambda c: F.lower(F.substring(c["open"], 3, 1)) == kind)
+    rows = rows.where(F.lower(tag_text(F.coalesce(F.get(of_kind("h"), F.lit(0))["inner"], F.lit("")))).contains("website"))
+    tds = F.array_join(F.transform(of_kind("d"), lambda c: c["inner"]), " ")
     lk = rows.select("page_id", "box_pos", "row_pos", F.lit(0).alias("stage"),
                      F.posexplode(F.regexp_extract_all(tds, F.lit(ANCHOR_RE), 0)).alias("link_pos", "_a"))
     li = pages.select("page_id", F.lit(0).alias("box_pos"), F.lit(0).alias("row_pos"), F.lit(1).alias("stage"),
@@ -377,9 +433,7 @@ def category_urls(pages: DataFrame, base: str) -> DataFrame:
 def listing_urls(pages: DataFrame, base: str) -> DataFrame:
     """Links inside ``.listing-title`` elements pointing under ``/directory/``, excluding
     category and view URLs; distinct per page in first-seen order: (page_id, pos, url)."""
-    blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        shown("html"), F.lit(rf"(?is)\s{class_value('listing-title')}[^>]*>(.*?)</(?:h[1-6]|div|span|p|li)>"), 1))
-        .alias("block_pos", "b"))
+    blocks = pages.select("page_id", F.posexplode(F.transform(elements(shown("html"), with_class("listing-title")), lambda e: e["inner"])).alias("block_pos", "b"))
     a = blocks.select("page_id", "block_pos", F.posexplode(F.regexp_extract_all("b", F.lit(ANCHOR_RE), 0)).alias("lp", "_a"))
     open_tag, _ = _anchor_parts(F.col("_a"))
     a = a.where(has_attr(open_tag, "href")).withColumn("href", ustrip(attr(open_tag, "href")))
@@ -390,16 +444,12 @@ def listing_urls(pages: DataFrame, base: str) -> DataFrame:
 
 
 def _field(html: Column, field: str) -> Column:
-    """Text of the first ``.value`` (else ``.wpbdp-field-value``) element inside ``.wpbdp-field-<field>``.
-
-    The field ends where the next field starts (its label and value are parts of it)."""
-    block = F.regexp_extract(html, rf"(?is)\s{class_value('wpbdp-field-' + field)}(.*?)"
-                                   r"(?=\sclass\s*=\s*[\"'](?:[^\"']*\s)?wpbdp-field-(?!value[\s\"']|label[\s\"'])|\z)", 1)
+    """Text of the first ``.value`` (else ``.wpbdp-field-value``) element inside ``.wpbdp-field-<field>``."""
+    inside = F.array_join(F.transform(elements(html, with_class("wpbdp-field-" + field)), lambda e: e["inner"]), " ")
 
-    def grab(cls):
-        return F.regexp_extract(block, rf"(?is)\s{class_value(cls)}[^>]*>(.*?)</", 1)
-    has_first = block.rlike(rf"(?is)\s{class_value('value')}")
-    return tag_text(F.when(has_first, grab("value")).otherwise(grab("wpbdp-field-value")))
+    def first(cls: str):
+        return lambda x: F.get(elements(x, with_class(cls)), F.lit(0))["inner"]
+    return tag_text(let(inside, lambda x: F.coalesce(first("value")(x), first("wpbdp-field-value")(x), F.lit(""))))
 
 
 def listing_records(pages: DataFrame, source: str = "eu_startups") -> DataFrame:
