@@ -153,21 +153,25 @@ def links(fps: DataFrame, max_bits: int = 4, blocks: int = 6, cell: int = 1024)
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                        max_bits: int = 4, blocks: int = 6, cell: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, k_hash.
+    """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id, root, k_hash.
 
-    component_id is the smallest id that links lead to.
+    component_id is the smallest id that links lead to (null if none there has one); root, a fingerprint, tells components apart.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     found = components(links(nodes.select("fp"), max_bits, blocks, cell))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "k_hash")
+    named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "k_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays."""
-    found = simhash_components(docs, id_col, text_col, shingle, max_bits)
-    verdicts = found.select(F.col("doc_id").alias("k_id"), "k_hash", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    """The rows of ``docs`` without near duplicates: of each component the document with the smallest id stays, of several with that id the one
+    with the least text hash; where no document of a component has an id, that decides among all."""
+    found = materialize(simhash_components(docs, id_col, text_col, shingle, max_bits), "near-rows")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    picks = found.filter(own).groupBy("root").agg(F.min("k_hash").alias("k_hash")).withColumn("picked", F.lit(True))
+    verdicts = found.join(picks, ["root", "k_hash"], "left").select(
+        F.col("doc_id").alias("k_id"), "k_hash", (own & F.col("picked").isNotNull()).alias("kept"))
     return keep_rows(docs, verdicts, id_col, text_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from career_index.llm.common import materialize, row_key, small_side, text_or_empty
+from career_index.llm.common import materialize, release, row_key, small_side, text_or_empty
 
 _MARKS = ".!?\u3002\uff01\uff1f\uff61\u061f\u06d4\u0964\u0965"
 _THAI = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"  # Thai, Lao, Burmese, Khmer
@@ -109,7 +109,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, i
     return "".join(out), [(a, b - a) for a, b in merged]
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4,
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 8,
                    min_sentence_words: int = 8) -> DataFrame:
     """(k_id, k_hash, spans): for each row with something to remove, the spans of units that occur earlier."""
 
@@ -129,20 +129,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["k_id", "k_hash", "start", "stop", "d1", "d2"])
 
     rows = docs.select(*row_key(id_col, text_col), text_or_empty(text_col).alias("body"))
-    found = materialize(rows.mapInArrow(run, _UNITS), "units")
+    units_table = found = materialize(rows.mapInArrow(run, _UNITS), "units")
     # Most units occur once; half a digest tells them apart at a fraction of the shuffle.
     again = found.groupBy("d1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1")
     found = materialize(found.join(small_side(materialize(again, "unit-digests")), "d1", "left_semi"), "unit-repeats")
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("k_id", "start", "k_hash", "stop")).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("d1", "d2", "first")
-    later = found.join(first, ["d1", "d2"]).filter(~F.struct("k_id", "start", "k_hash", "stop").eqNullSafe(F.col("first")))
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("k_id", "start", "k_hash", "stop")).alias("first"))
+    # Joined by digest and document, so that the occurrences of a digest that a third of all rows share meet the first one in no single task: only a
+    # digest's first document finds a partner.
+    doc_key = lambda c: F.xxhash64(c).alias("k_key")  # noqa: E731  (null ids have a key too)
+    first = first.select("d1", "d2", F.col("first.k_hash").alias("k_hash"), doc_key("first.k_id"), F.col("first.k_id").alias("f_id"),
+                         F.col("first.start").alias("f_start"), F.col("first.stop").alias("f_stop"))
+    held = found.select("*", doc_key("k_id")).join(first, ["d1", "d2", "k_hash", "k_key"], "left")
+    same = F.coalesce(F.col("k_id").eqNullSafe(F.col("f_id")) & F.col("f_start").isNotNull(), F.lit(False))
+    later = held.filter(~(same & (F.col("start") == F.col("f_start")) & (F.col("stop") == F.col("f_stop"))))
     # An occurrence that begins within the first one is removed only beyond it.
-    same = F.col("k_id").eqNullSafe(F.col("first.k_id")) & (F.col("k_hash") == F.col("first.k_hash"))
-    later = later.withColumn("start", F.when(same, F.greatest("start", "first.stop")).otherwise(F.col("start"))).filter("start < stop")
-    return later.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    later = later.withColumn("start", F.when(same, F.greatest("start", "f_stop")).otherwise(F.col("start"))).filter("start < stop")
+    spans = materialize(later.groupBy("k_id", "k_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "unit-spans")
+    release(units_table)
+    release(found)
+    return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4,
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 8,
                    min_sentence_words: int = 8) -> DataFrame:
     """``docs`` with all its columns, its text cut, and a last column ``removed``: array of (start, length) in the original text."""
     spans = repeated_spans(docs, id_col, text_col, min_line_words, min_sentence_words)
@@ -162,7 +170,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(*kept, F.col("__cut.removed").alias(out_col))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 4,
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line_words: int = 8,
                 min_sentence_words: int = 8) -> DataFrame:
     """``docs`` with repeated units cut out of the text; other columns as they were."""
     out = remove_repeats(docs, id_col, text_col, min_line_words, min_sentence_words)

@@ -2,6 +2,9 @@
 
 Every stage works on all rows that its predecessor kept and returns the columns of ``documents``;
 the last returns the packed pieces. Stage results are written to the shared folder and read back.
+
+Defined results: a null text counts as empty, and the quality rules reject it; null ids rank before all others; rows with equal id and text are one
+document; further columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SimHash components, sentence cutting and tokenising have no SQL form; tests/llm holds run() against a brute-force version.
+#: SimHash components, sentence cutting and tokenising have no SQL form; tests/llm/test_pipeline.py holds all rows of run() against a plain version.
 ORACLE_SQL = None
 
 
