@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode whitespace plus the four ASCII separators Python also treats as space.
@@ -29,6 +29,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns`` added behind a generator: later filters on them aren't pushed below it, where each would write out their expressions again."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, row).select(*kept, *[F.col(f"_settled.{n}").alias(n) for n in columns])
+
+
 def ustrip(c) -> Column:
     """``str.strip()``: remove leading and trailing Unicode whitespace.
 

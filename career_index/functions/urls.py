@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from career_index.constants import ENCYCLOPEDIA_WIKI, ORIGIN_MAX_LEN, URL_MAX_LEN
-from career_index.functions.text import _c, let, ustrip
+from career_index.functions.text import _c, let, settled, ustrip
 
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 NETLOC_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
@@ -45,8 +45,8 @@ def _lower_scheme(s: Column) -> Column:
 
 
 def with_absolute(df, out: str, base, href):
-    """``out`` = P1(P4(base, href)), staged so the join expression is computed once per row."""
-    return df.withColumn("_joined", resolve_url(base, href)).withColumn(out, normalize_url("_joined")).drop("_joined")
+    """``out`` = P1(P4(base, href)), computed once per row however often it is filtered on."""
+    return settled(df, **{out: normalize_url(resolve_url(base, href))})
 
 
 def normalize_url(c) -> Column:
@@ -151,12 +151,13 @@ def canonical_origin(text) -> Column:
     Trailing ``.,;)`` are removed, https:// is added when missing, the host must contain a dot
     and the token must be at most 200 characters; otherwise ``""``.
     """
-    m = F.regexp_extract(_c(text), r"(?iU)(https?://[^\s]+|www\.[^\s]+)", 1)
-    v = F.regexp_replace(ustrip(m), r"[.,;)]+\z", "")
-    u = ensure_scheme(v)
-    host = netloc(u)
-    ok = (m != "") & host.contains(".") & (F.length(u) <= ORIGIN_MAX_LEN)
-    return F.when(ok, F.concat(scheme(u), F.lit("://"), host)).otherwise(F.lit(""))
+    def origin(u: Column) -> Column:
+        host = netloc(u)
+        return F.when(host.contains(".") & (F.length(u) <= ORIGIN_MAX_LEN), F.concat(scheme(u), F.lit("://"), host)).otherwise(F.lit(""))
+
+    def found(m: Column) -> Column:
+        return F.when(m != "", let(ensure_scheme(F.regexp_replace(ustrip(m), r"[.,;)]+\z", "")), origin)).otherwise(F.lit(""))
+    return let(F.regexp_extract(_c(text), r"(?iU)(https?://[^\s]+|www\.[^\s]+)", 1), found)
 
 
 def page_url(title, base: str = ENCYCLOPEDIA_WIKI) -> Column:

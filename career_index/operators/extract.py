@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from career_index.constants import ENCYCLOPEDIA_BASE, ENCYCLOPEDIA_HOST
 from career_index.functions import predicates as P
-from career_index.functions.text import _c, clean_cell, collapse_ws, let, ustrip
+from career_index.functions.text import _c, clean_cell, collapse_ws, let, settled, ustrip
 from career_index.functions.urls import canonical_origin, netloc, normalize_url, resolve_url, with_absolute
 from career_index.storage import stored
 
@@ -69,12 +69,13 @@ def _numbered(digits: Column, base: int) -> Column:
 
 def decode_entities(c) -> Column:
     """Character references replaced once, as HTML 5 has them: numbers, names, and the longest name in front where a semicolon is missing."""
-    def piece(t: Column) -> Column:
+    def piece(t: Column, names: Column) -> Column:
+        def named(name: Column) -> Column:
+            return F.element_at(F.element_at(names, F.left(name, F.lit(1))), name)
+
         def with_name(name: Column) -> Column:
-            whole = F.element_at(F.element_at(_names(), F.left(name, F.lit(1))), name)
-            short = let(F.regexp_extract(t, SHORT_NAME_RE, 1), lambda n: F.when(n != "", F.concat(
-                F.element_at(F.element_at(_names(), F.left(n, F.lit(1))), n), F.substr(t, F.length(n) + F.lit(1)))))
-            return let(whole, lambda w: F.when(w.isNotNull(), F.concat(w, F.substr(t, F.length(name) + F.lit(1)))).otherwise(short))
+            short = let(F.regexp_extract(t, SHORT_NAME_RE, 1), lambda n: F.when(n != "", F.concat(named(n), F.substr(t, F.length(n) + F.lit(1)))))
+            return let(named(name), lambda w: F.when(w.isNotNull(), F.concat(w, F.substr(t, F.length(name) + F.lit(1)))).otherwise(short))
 
         def number(pattern: str, base: int) -> Column:
             return F.concat(_numbered(F.regexp_extract(t, pattern, 1), base), F.regexp_replace(t, pattern, ""))
@@ -83,8 +84,14 @@ def decode_entities(c) -> Column:
                  .when(t.rlike("^[A-Za-z]"), let(F.regexp_extract(t, NAME_RE, 1), with_name)))
         return F.coalesce(known, F.concat(F.lit("&"), t))
 
-    return let(_c(c), lambda x: F.when(x.contains("&"), F.array_join(F.transform(
-        F.split(x, "&"), lambda t, i: F.when(i == 0, t).otherwise(piece(t))), "")).otherwise(x))
+    # The table stands in the plan once per call.
+    return let(_c(c), lambda x: F.when(x.contains("&"), let(_names(), lambda names: F.array_join(F.transform(
+        F.split(x, "&"), lambda t, i: F.when(i == 0, t).otherwise(piece(t, names))), ""))).otherwise(x))
+
+
+def tag_text(inner) -> Column:
+    """Visible text of a markup fragment: tags -> spaces, entities decoded, whitespace collapsed, stripped."""
+    return ustrip(collapse_ws(decode_entities(F.regexp_replace(_c(inner), r"<[^>]*>", " "))))
 
 
 # Elements without an end tag.
@@ -135,11 +142,6 @@ def with_class(token: str, tag: str = ANY_TAG) -> str:
     return rf"(?is)^<{tag}\s(?:[^>]*\s)?{class_value(token)}"
 
 
-def tag_text(inner) -> Column:
-    """Visible text of a markup fragment: tags -> spaces, entities decoded, whitespace collapsed, stripped."""
-    return ustrip(collapse_ws(decode_entities(F.regexp_replace(_c(inner), r"<[^>]*>", " "))))
-
-
 def attr(tag, name: str) -> Column:
     """Value of attribute ``name`` in an opening tag ('' when absent); entities decoded."""
     pat = rf"(?is)^<\w+{TAG_STEP}*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
@@ -172,11 +174,9 @@ def parse_anchors(df: DataFrame, tags, keep: list[str]) -> DataFrame:
     ex = df.select(*keep, F.posexplode(_c(tags)).alias("pos", "_a"))
     open_tag, inner = _anchor_parts(F.col("_a"))
     ex = ex.where(has_attr(open_tag, "href"))
-    return ex.select(*keep, "pos",
-                     ustrip(attr(open_tag, "href")).alias("href"),
-                     tag_text(inner).alias("text"),
-                     ustrip(attr(open_tag, "title")).alias("title"),
-                     ustrip(attr(open_tag, "aria-label")).alias("aria_label"))
+    ex = settled(ex, href=ustrip(attr(open_tag, "href")), text=tag_text(inner), title=ustrip(attr(open_tag, "title")),
+                 aria_label=ustrip(attr(open_tag, "aria-label")))
+    return ex.select(*keep, "pos", "href", "text", "title", "aria_label")
 
 
 def anchors(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
@@ -345,7 +345,7 @@ def list_rows(pages: DataFrame) -> DataFrame:
     rows = tables.select("page_id", "table_pos", F.posexplode(elements("t.inner", "(?i)^<tr", "tr")).alias("row_pos", "r"))
     cells = rows.select("page_id", "table_pos", "row_pos", F.posexplode(elements("r.inner", "(?i)^<t[hd]", "th|td")).alias("cell_pos", "c"))
     cells = cells.select("page_id", "table_pos", "row_pos", "cell_pos", F.lower(F.substring("c.open", 3, 1)).alias("kind"), F.col("c.inner").alias("inner"))
-    cells = cells.withColumn("text", clean_cell(tag_text("inner")))
+    cells = settled(cells, text=clean_cell(tag_text("inner")))
 
     head = cells.where((F.col("row_pos") == 0) & (F.col("kind") == "h"))
     hw = head.select("page_id", "table_pos", "cell_pos", F.lower("text").alias("h"))
@@ -365,7 +365,7 @@ def list_rows(pages: DataFrame) -> DataFrame:
     lk = data.select("page_id", "table_pos", "row_pos", "cell_pos", "name_idx", "web_idx",
                      F.posexplode(F.regexp_extract_all("inner", F.lit(ANCHOR_RE), 0)).alias("link_pos", "_a"))
     open_tag, _ = _anchor_parts(F.col("_a"))
-    lk = lk.where(has_attr(open_tag, "href")).withColumn("href", ustrip(attr(open_tag, "href")))
+    lk = settled(lk.where(has_attr(open_tag, "href")), href=ustrip(attr(open_tag, "href")))
     is_http = F.col("href").startswith("http")
     at = F.struct("cell_pos", "link_pos")
     web = lk.groupBy("page_id", "table_pos", "row_pos").agg(
@@ -412,7 +412,7 @@ def infobox_website(pages: DataFrame) -> DataFrame:
     li = li.select("page_id", "box_pos", F.col("li_pos").alias("row_pos"), "stage", F.col("lp").alias("link_pos"), "_a")
     allk = lk.unionByName(li)
     open_tag, _ = _anchor_parts(F.col("_a"))
-    allk = allk.withColumn("href", ustrip(attr(open_tag, "href")))
+    allk = settled(allk, href=ustrip(attr(open_tag, "href")))
     allk = allk.where(F.col("href").startswith("http") & ~F.col("href").contains(ENCYCLOPEDIA_HOST))
     return allk.groupBy("page_id").agg(
         normalize_url(F.min_by("href", F.struct("stage", "box_pos", "row_pos", "link_pos"))).alias("website"))
@@ -436,7 +436,7 @@ def listing_urls(pages: DataFrame, base: str) -> DataFrame:
     blocks = pages.select("page_id", F.posexplode(F.transform(elements(shown("html"), with_class("listing-title")), lambda e: e["inner"])).alias("block_pos", "b"))
     a = blocks.select("page_id", "block_pos", F.posexplode(F.regexp_extract_all("b", F.lit(ANCHOR_RE), 0)).alias("lp", "_a"))
     open_tag, _ = _anchor_parts(F.col("_a"))
-    a = a.where(has_attr(open_tag, "href")).withColumn("href", ustrip(attr(open_tag, "href")))
+    a = settled(a.where(has_attr(open_tag, "href")), href=ustrip(attr(open_tag, "href")))
     a = a.where(F.col("href").contains("/directory/") & (F.col("href") != ""))
     a = with_absolute(a, "url", F.lit(base), F.col("href"))
     a = a.where(~F.col("url").contains("/wpbdp_category/") & ~F.col("url").contains("wpbdp_view="))
@@ -455,19 +455,18 @@ def _field(html: Column, field: str) -> Column:
 def listing_records(pages: DataFrame, source: str = "eu_startups") -> DataFrame:
     """One record per listing page: name from ``h1`` (business-name field when the h1
     looks like a URL), website via P5 from the website field, country from the category field."""
-    h = shown("html")
-    h1 = tag_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))
-    has_h1 = h.rlike(r"(?is)<h1(?:\s[^>]*)?>")
-    business = _field(h, "business_name")
-    name = F.when(P.looks_like_url(h1) & (business != ""), business).otherwise(h1)
-    website = canonical_origin(_field(h, "website"))
-    country = _field(h, "category")
-    out = pages.select("page_id", F.col("url").alias("source_url"), has_h1.alias("has_h1"), name.alias("name"),
-                       website.alias("website"), country.alias("country"))
-    out = out.where(F.col("has_h1") & (F.col("name") != "") & ~P.looks_like_url("name") & (F.col("website") != ""))
+    def record(h: Column) -> Column:
+        h1 = F.when(h.rlike(r"(?is)<h1(?:\s[^>]*)?>"), tag_text(F.regexp_extract(h, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1)))
+        name = let(h1, lambda n: F.when(P.looks_like_url(n), let(_field(h, "business_name"), lambda b: F.when(b != "", b).otherwise(n))).otherwise(n))
+        return F.struct(name.alias("name"), canonical_origin(_field(h, "website")).alias("website"), _field(h, "category").alias("country"))
+
+    def whole(r: Column) -> Column:
+        return r["name"].isNotNull() & (r["name"] != "") & ~P.looks_like_url(r["name"]) & (r["website"] != "")
+    # Filtered within the row: a filter behind the projection would be pushed below it with all its expressions written out again.
+    out = pages.select("page_id", F.col("url").alias("source_url"), F.explode(F.filter(F.array(let(shown("html"), record)), whole)).alias("r"))
     return out.select(
-        "page_id", "name", "website",
-        F.when(F.col("country") == "", F.lit("Unknown")).otherwise(F.col("country")).alias("country_of_origin"),
+        "page_id", "r.name", "r.website",
+        F.when(F.col("r.country") == "", F.lit("Unknown")).otherwise(F.col("r.country")).alias("country_of_origin"),
         F.lit(source).alias("source"), "source_url")
 
 
@@ -493,8 +492,8 @@ def profile_records(pages: DataFrame, source: str, exclude_hosts=("clutch.co", "
     """name = ``h1`` text; website = first outbound ``http`` link labelled as a website,
     else the first outbound ``http`` link; country from JSON-LD (X14) or ``Unknown``."""
     from career_index.constants import WEBSITE_LINK_LABELS
-    pt = pages.select("page_id", F.col("url").alias("source_url"),
-                      tag_text(F.regexp_extract(shown("html"), r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1)).alias("name"))
+    h1 = tag_text(F.regexp_extract(shown("html"), r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>", 1))
+    pt = pages.select("page_id", F.col("url").alias("source_url"), F.explode(F.filter(F.array(h1), lambda n: n != "")).alias("name"))
     a = anchors(pages.select("page_id", "html"), "html", ["page_id"])
     host = F.lower(netloc("href"))
     outbound = F.col("href").startswith("http")
@@ -511,4 +510,4 @@ def profile_records(pages: DataFrame, source: str, exclude_hosts=("clutch.co", "
     out = out.select("page_id", "name", normalize_url(F.coalesce("href", F.lit(""))).alias("website"),
                      F.coalesce("country", F.lit("Unknown")).alias("country_of_origin"),
                      F.lit(source).alias("source"), "source_url")
-    return out.where((F.col("name") != "") & (F.col("website") != ""))
+    return out.where(F.col("website") != "")
