@@ -70,7 +70,7 @@ class WordEncoder:
     special token goes to the tokeniser whole, which reads the literal as that token.
     """
 
-    def __init__(self, path: str, cache_limit: int = 700_000):
+    def __init__(self, path: str, cache_limit: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
