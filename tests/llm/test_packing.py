@@ -80,3 +80,10 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     rows = packing.pack(df, PATH, capacity=8).collect()
     assert sorted((r.doc_id or -1, r.length) for r in rows) == [(-1, 3), (-1, 3), (3, 2), (3, 2)]
     assert packing.pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_the_word_cache_of_a_worker_is_bounded():
+    encoder = packing.WordEncoder(PATH)
+    for at in range(0, 240_000, 8_000):
+        list(encoder.encode([" ".join("w" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(at, at + 8_000))]))
+    assert len(encoder.known) <= 210_000
