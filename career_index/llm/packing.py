@@ -25,10 +25,12 @@ import zlib
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,10 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-#: A comma or full stop with other punctuation beside it is part of a longer token.
-_RUN = re.compile(r"[^\w\s][,.]|[,.][^\w\s]|_[,.]|[,.]_")
+#: The tokens before merging of a folded word without white space. Every character above ASCII is taken for a letter here.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u0080-\U0010ffff]+|[0-9]|[^a-z0-9\u0080-\U0010ffff]+")
+#: Texts are looked up together until they have so many characters.
+_CHUNK = 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,21 +56,25 @@ def _byte_letters() -> dict[int, str]:
 def simplified(text: str) -> str:
     """A text with the same tokens and fewer distinct words.
 
-    White space and case are dropped by the tokeniser anyhow. A single comma or full stop is always a token of its
-    own, so a space may be set before it. Case is only folded here where that commutes with the tokeniser's own NFC and
+    Case is dropped by the tokeniser anyhow. It is only folded here where that commutes with the tokeniser's own NFC and
     character-wise folding.
     """
-    text = text.replace("\n", " ")
     low = text.lower()
     if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", low)):
         return text
-    return low if _RUN.search(low) else low.replace(",", " ,").replace(".", " .")
+    return low
+
+
+def _plain(part: str) -> bool:
+    """The tokeniser's normaliser and splitter leave this part of a folded word as it is."""
+    return part.isascii() or (part.isalpha() and part.islower() and unicodedata.is_normalized("NFC", part))
 
 
 class WordEncoder:
     """Little-endian 32-bit ids of texts, word by word, with a bounded cache of words.
 
-    No token of this tokeniser spans a space, so the ids of a text are those of its words. A text that holds the literal of a
+    No token of this tokeniser spans white space, so the ids of a text are those of its words. Arrow splits many texts at once and
+    numbers their distinct words; only words that are not in the cache are tokenised. A text that holds the literal of a
     special token goes to the tokeniser whole, which reads the literal as that token.
     """
 
@@ -78,37 +86,69 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.literals = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         self.cache_limit = cache_limit
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.cache_limit:
-            self.known.clear()
-            self.known[""] = b""
-            new = list(words)
+    def merged(self, part: str) -> bytes:
+        raw = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Make all ``words`` known. Where the cache gets too large, the words of earlier texts that are not among them leave it."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self.cache_limit:
+            self.known = known = {w: known[w] for w in words if w in known}
         rest = []
         for w in new:
-            if w.isalpha() and w.islower() and len(w) < 100:  # one run of folded letters: a single word to the model
-                raw = w.encode().decode("latin-1").translate(self.letters)
-                self.known[w] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-            elif w:
+            low = w.lower()
+            parts = [low] if low.isalpha() else _PARTS.findall(low)
+            if low != w and not w.isascii() or not all(map(_plain, parts)):
                 rest.append(w)
+            elif len(parts) == 1:
+                known[w] = self.merged(low)
+            else:
+                known[w] = b"".join([known[p] if p in known else known.setdefault(p, self.merged(p)) for p in parts])
         for at in range(0, len(rest), 4096):
             part = rest[at:at + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
+                known[w] = array("I", e.ids).tobytes()
+
+    def look_up(self, texts: list[str]) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        found = [self.known[w] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        word = numbered.indices.to_numpy()
+        ends = np.cumsum(sizes[word])
+        at = np.arange(ends[-1]) + np.repeat(starts[word] - ends + sizes[word], sizes[word])
+        ids = np.frombuffer(b"".join(found), "<u4")[at].tobytes()
+        bounds = 4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        for first, last in pairwise(bounds.tolist()):
+            yield ids[first:last]
 
     def encode(self, texts) -> Iterator[bytes]:
-        for text in texts:
-            low = text.lower()
-            if any(x in low for x in self.literals):
-                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-                continue
-            words = simplified(text).split(" ")
-            if any(w not in self.known for w in words):
-                self.learn(set(words))
-            yield b"".join(map(self.known.__getitem__, words))
+        for chunk in chunks(texts, _CHUNK):
+            low = [t.lower() for t in chunk]
+            whole = {k for k, t in enumerate(low) if any(x in t for x in self.literals)}
+            for k, ids in enumerate(self.look_up(["" if k in whole else simplified(t) for k, t in enumerate(chunk)])):
+                yield array("I", self.tokenizer.encode(chunk[k], add_special_tokens=False).ids).tobytes() if k in whole else ids
+
+
+def chunks(texts, size: int) -> Iterator[list[str]]:
+    """The texts in lists that end once they have ``size`` characters."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def encoder(path: str) -> WordEncoder:

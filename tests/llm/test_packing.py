@@ -87,3 +87,26 @@ def test_the_word_cache_of_a_worker_is_bounded():
     for at in range(0, 240_000, 8_000):
         list(encoder.encode([" ".join("w" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(at, at + 8_000))]))
     assert len(encoder.known) <= 210_000
+
+
+def test_ids_of_words_that_the_tokeniser_normalises():
+    texts = ["\u1f7d a", "a\uf929 \u0393", "a\u0301 \u00c9S, x", "\xe9t\xe9,\xbb\xab\xe0.", "\x1d.a\xbb", "it's'S''s.'s 'RE'll \x0b\x7f", "K\u212b \u0130,\u00c9"]
+    for text, raw, ids in zip(texts, packing.WordEncoder(PATH).encode(texts), ids_of(texts), strict=True):
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == ids, ascii(text)
+
+
+def test_words_with_punctuation_are_put_together_from_their_parts():
+    texts = ["the word,### (word) the.\tword's x-y_z 1,000.5 \xe9t\xe9... WORD;the"] * 3
+    encoder = packing.WordEncoder(PATH)
+    encoder.tokenizer = None  # only the merges are needed
+    for raw, ids in zip(encoder.encode(texts), ids_of(texts), strict=True):
+        assert list(struct.unpack(f"<{len(raw) // 4}I", raw)) == ids
+
+
+def test_words_in_use_stay_when_the_cache_is_full():
+    encoder = packing.WordEncoder(PATH, cache_limit=100)
+    encoder.learn(["often", *("w" + chr(97 + k % 26) * (k // 26 + 1) for k in range(95))])
+    merged, asked, new = encoder.merged, [], [f"n{chr(97 + k)}" for k in range(10)]
+    encoder.merged = lambda part: asked.append(part) or merged(part)
+    encoder.learn(["often", *new])
+    assert asked == new and len(encoder.known) <= 100
